@@ -20,6 +20,11 @@ def _doubles(audio: Column) -> Column:
     return F.transform(audio, lambda x: x.cast("double"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once. In a lambda over samples an expression would be worked out for each sample."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def power(audio: Column) -> Column:
     """Mean of squares; 0 for an empty signal."""
     total = F.aggregate(_doubles(audio), F.lit(0.0), lambda a, x: a + x * x)
@@ -33,8 +38,8 @@ def peak(audio: Column) -> Column:
 
 def normalise(audio: Column, limit: float = 1.0) -> Column:
     """Divide by the peak if that exceeds ``limit``."""
-    top = peak(audio)
-    return _floats(F.when(top > limit, F.transform(_doubles(audio), lambda x: x / top)).otherwise(_doubles(audio)))
+    both = F.struct(_doubles(audio).alias("a"), peak(audio).alias("top"))
+    return let(both, lambda b: _floats(F.when(b["top"] > limit, F.transform(b["a"], lambda x: x / b["top"])).otherwise(b["a"])))
 
 
 def decibels(db: Column) -> Column:
@@ -42,7 +47,8 @@ def decibels(db: Column) -> Column:
 
 
 def scale(audio: Column, factor: Column) -> Column:
-    return _floats(F.transform(_doubles(audio), lambda x: x * factor))
+    # Repeated, not captured: an expression in a lambda would be worked out for each sample.
+    return F.zip_with(audio, F.array_repeat(factor, F.size(audio)), lambda x, f: (x.cast("double") * f).cast("float"))
 
 
 def adjust_gain(low: float, high: float, p: float = 1.0, seed: int = 42) -> Transform:
@@ -145,21 +151,26 @@ def fit(noise: Column, size: Column) -> Column:
 
 def mix_at_snr(audio: Column, noise: Column, snr_db: Column, compat: bool = False) -> Column:
     """Add noise at a ratio of powers. Silent signals and noises change nothing; a peak above 1 is divided out. ``compat`` takes the noise as of unit power."""
-    fitted = fit(noise, F.size(audio))
-    signal, other = power(audio), power(fitted)
-    wanted = signal / F.pow(F.lit(10.0), snr_db / 10.0)
-    factor = F.sqrt(wanted if compat else wanted / other)
-    mixed = F.zip_with(_doubles(audio), _doubles(fitted), lambda x, y: x + y * factor)
-    return F.when((signal <= 0) | (other <= 0), _floats(audio)).otherwise(normalise(mixed))
+    def mixed(b: Column) -> Column:
+        wanted = b["signal"] / F.pow(F.lit(10.0), snr_db / 10.0)
+        factor = F.sqrt(wanted if compat else wanted / b["other"])
+        sums = let(factor, lambda f: F.zip_with(b["a"], b["n"], lambda x, y: x + y.cast("double") * f))
+        return F.when((b["signal"] <= 0) | (b["other"] <= 0), _floats(b["a"])).otherwise(normalise(sums))
+
+    def measured(b: Column) -> Column:
+        return let(F.struct(b["a"].alias("a"), b["n"].alias("n"), power(b["a"]).alias("signal"), power(b["n"]).alias("other")), mixed)
+
+    return let(F.struct(_doubles(audio).alias("a"), fit(noise, F.size(audio)).alias("n")), measured)
 
 
 def rt60(impulse: Column, rate: int = 16000) -> Column:
     """Twice the number of samples from the peak on that are less than 60 dB below it, in seconds; 0 if empty or silent."""
-    size = F.transform(_doubles(impulse), F.abs)
-    top = peak(impulse)
-    tail = F.slice(size, F.array_position(size, top).cast("int"), F.size(size))
-    above = F.size(F.filter(tail, lambda x: x > top * F.lit(10 ** (-60 / 20))))
-    return F.when((F.size(impulse) == 0) | (top < 1e-10), F.lit(0.0)).otherwise(above * 2 / F.lit(float(rate)))
+    def measured(b: Column) -> Column:
+        tail = F.slice(b["a"], F.array_position(b["a"], b["top"]).cast("int"), F.size(b["a"]))
+        above = F.size(F.filter(tail, lambda x: x > b["top"] * F.lit(10 ** (-60 / 20))))
+        return F.when((F.size(b["a"]) == 0) | (b["top"] < 1e-10), F.lit(0.0)).otherwise(above * 2 / F.lit(float(rate)))
+
+    return let(F.struct(F.transform(_doubles(impulse), F.abs).alias("a"), peak(impulse).alias("top")), measured)
 
 
 def mono(channels: Column) -> Column:
