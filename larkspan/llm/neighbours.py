@@ -180,7 +180,7 @@ def search(vectors: DataFrame, every: int = 20, most: int = 20, sample: int = SA
     rows = ws.table(rows, "vectors")
     queries = rows.where(F.col("vec_id") % every == 0)
     total, norm = rows.agg(F.count("*"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, c: a + c * c))).first()
-    if not total:
+    if not total or not queries.limit(1).count():
         return spark.createDataFrame([], shape)
     hashes = Hashes(size, float(np.sqrt(norm)))
     reach = _reach(rows, queries, hashes, most, sample, target)
