@@ -22,14 +22,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     pairs, seen = ws.table(pairs, "0"), None
     for k in range(1, rounds + 1):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Minima are written before they are joined: a join of two tables may split a node with very many neighbours.
+        least = ws.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{k}-large")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = ws.table(large, f"{k}-edges")
+        least = ws.table(large.groupBy("a").agg(F.min("b").alias("m")), f"{k}-small")
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         small = small.select("e.a", "e.b").where("a <> b").distinct()
         pairs = ws.table(small, str(k))
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        ws.drop(str(k - 1))
+        for old in (str(k - 1), f"{k}-large", f"{k}-edges", f"{k}-small"):
+            ws.drop(old)
         if now == seen or now[0] == 0:
             break
         seen = now
