@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: Model | None = None, per_language: int = PE
     return rows.mapInPandas(run, f"doc_id long, held_out boolean, {_SHAPE}")
 
 
-def recognised(docs: DataFrame, least_share: float = 0.5, per_language: int = PER_LANGUAGE) -> DataFrame:
+def recognised(docs: DataFrame, least_share: float = 1 / 3, per_language: int = PER_LANGUAGE) -> DataFrame:
     """``docs`` without the rows whose language is ``und`` or whose main language has less than ``least_share``. All columns are kept; no row moves."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, per_language))
