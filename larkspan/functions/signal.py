@@ -191,6 +191,13 @@ def has_infinity(audio: Column) -> Column:
     return F.exists(_doubles(audio), lambda x: F.abs(x) == float("inf"))
 
 
+def valid_result(audio: Column, rate: Column, duration: Column) -> Column:
+    """Whether a synthesised signal lies in [-1, 1], has a positive rate and duration, and a duration that fits its length."""
+    wanted = F.size(audio) / rate.cast("double")
+    inside = F.forall(_doubles(audio), lambda x: (x >= -1) & (x <= 1))
+    return F.coalesce(inside & (rate > 0) & (duration > 0) & (F.abs(duration - wanted) <= 1e-8 + 1e-3 * F.abs(wanted)), F.lit(False))
+
+
 def compose(transforms: list[Transform]) -> Transform:
     """Apply one after the other."""
 

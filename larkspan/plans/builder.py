@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -125,11 +126,25 @@ def mined_manifest(clips: DataFrame, threshold: float, rate: int = 16000) -> Dat
     return clips.select(F.col("clip_name").alias("path"), F.lit(0).alias("label"), F.lit("").alias("text"), (seconds * 1000).cast("int").alias("duration_ms"), F.lit(rate).alias("sample_rate"), source.alias("metadata"))
 
 
-def append(spark: SparkSession, training: DataFrame, new_path: str, out: str) -> DataFrame:
-    """Write training rows and the good, new rows of a file of JSON lines to ``out``; returns what was wrong with the others. Nothing is written if nothing is new."""
+def append(spark: SparkSession, training: DataFrame, new_path: str, out: str, backup: bool = True, listing: DataFrame | None = None) -> DataFrame:
+    """Write training rows and the good, new rows of a file of JSON lines to ``out``; returns what was wrong with the others.
+
+    ``out`` is another folder than the one ``training`` is read from; ``backup`` keeps a dated copy of the old rows
+    beside it. With a ``listing(path)`` of files, rows without a file are errors, and more of them than good rows abort
+    the whole. Nothing is written if nothing is new.
+    """
     good, errors = read_tolerant(spark, new_path)
+    if listing is not None:
+        missing = M.missing_files(good, listing)
+        good = good.join(listing.select("path").distinct(), "path", "left_semi")
+        if missing.count() > good.count():
+            raise ValueError("more files are missing than there are good rows")
+        errors = errors.unionByName(missing.select("line", F.format_string("Line %d: no file %s", "line", "path").alias("message")))
     fresh = M.append_new(training, good, "line").drop("line")
     if fresh.limit(1).count():
+        if backup:
+            stamp = datetime.datetime.now(datetime.UTC).strftime("%Y%m%d_%H%M%S")
+            training.write.mode("error").json(f"{out.rstrip('/')}.{stamp}.backup")
         columns = ["path", "label", "text", "voice", "backend", "duration_ms", "sample_rate"]
         write_manifest(training.select(columns).unionByName(fresh.select(columns)), out)
     return errors

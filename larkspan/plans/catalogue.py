@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import dsp, phonetics, phrases, signal, transforms
 from larkspan.functions.draws import integer, order_key, uniform
-from larkspan.operators import assignment, cooldown, manifest, metrics, windows
+from larkspan.operators import assignment, augmentation, cooldown, manifest, metrics, windows
 from larkspan.plans import views
 from larkspan.sources import cache, exports, jsonl, scoring, synthesis, wav
 
@@ -562,13 +562,36 @@ def coloured_noise(spark, sf_dir):
     return views.audio(spark, sf_dir).select("path", *made)
 
 
+def _bank(spark, sf_dir):
+    """Eight recordings, whatever the number of clips."""
+    found = views.audio(spark, sf_dir).where("class = 9").orderBy("position").limit(8).select("audio").collect()
+    return spark.createDataFrame([(k, r["audio"]) for k, r in enumerate(found)], "k int, audio array<float>")
+
+
 @query()
 def reverb(spark, sf_dir):
-    rows = views.audio(spark, sf_dir).select("path", "audio", integer(SEED, "impulse", F.col("path"), 8).alias("k"))
-    # Eight impulse responses, whatever the number of clips.
-    impulses = views.audio(spark, sf_dir).where("class = 9").orderBy("position").limit(8).select("audio").collect()
-    bank = spark.createDataFrame([(k, r["audio"]) for k, r in enumerate(impulses)], "k int, impulse array<float>")
-    return rows.join(F.broadcast(bank), "k").select("path", dsp.over_audio(dsp.reverberate)(F.col("audio"), F.col("impulse")).alias("audio"))
+    return augmentation.add_reverb(views.audio(spark, sf_dir).select("path", "audio"), _bank(spark, sf_dir), 0.7, SEED)
+
+
+@query(
+    f"""WITH {AUDIO}, bank AS (SELECT (row_number() OVER (ORDER BY position) - 1)::INT AS k, audio AS noise FROM (SELECT * FROM audio WHERE class = 9 ORDER BY position LIMIT 8)),
+p AS (SELECT path, audio, noise, {U("noise?", "path")} <= 0.5::DOUBLE AS wanted, 0.0::DOUBLE + {U("noise snr", "path")} * 20.0::DOUBLE AS snr FROM audio JOIN bank ON k = (floor({U("noise", "path")} * 8))::INT),
+w AS (SELECT *, sqrt(list_sum(list_transform(audio, lambda x: x::DOUBLE * x::DOUBLE)) / 64 / pow(10.0::DOUBLE, snr / 10) / (list_sum(list_transform(noise, lambda x: x::DOUBLE * x::DOUBLE)) / 64)) AS f FROM p),
+m AS (SELECT path, CASE WHEN wanted THEN list_transform(list_zip(audio, noise), lambda z: z[1]::DOUBLE + z[2]::DOUBLE * f) ELSE list_transform(audio, lambda x: x::DOUBLE) END AS a, wanted FROM w),
+n AS (SELECT path, a, list_max(list_transform(a, lambda x: abs(x))) AS top, wanted FROM m)
+SELECT path, unnest(range(len(a)))::INT AS i, unnest(list_transform(a, lambda x: round((CASE WHEN wanted AND top > 1 THEN x / top ELSE x END)::FLOAT::DOUBLE, 5))) AS v FROM n"""
+)
+def add_noise(spark, sf_dir):
+    made = augmentation.add_noise(views.audio(spark, sf_dir).select("path", "audio"), _bank(spark, sf_dir), 0.0, 20.0, 0.5, SEED)
+    return _values(made, F.col("audio"))
+
+
+@query(f"WITH {AUDIO} SELECT path, list_max(list_transform(audio, lambda x: abs(x))) <= 1 AND position % 3 <> 0 AND position % 7 <> 0 AS valid FROM audio")
+def result_invariants(spark, sf_dir):
+    position = F.col("position")
+    rate = F.when(position % 7 == 0, 0).otherwise(16000)
+    duration = F.when(position % 3 == 0, 0.5).otherwise(F.size("audio") / 16000.0)
+    return views.audio(spark, sf_dir).select("path", signal.valid_result(F.col("audio"), F.nullif(rate, F.lit(0)), duration).alias("valid"))
 
 
 @query()

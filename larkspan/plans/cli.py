@@ -6,6 +6,7 @@ import argparse
 import logging
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from larkspan.plans import builder, config
@@ -27,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     merge.add_argument("training")
     merge.add_argument("new")
     merge.add_argument("output")
+    merge.add_argument("--backup", action="store_true")
     return top
 
 
@@ -47,7 +49,7 @@ def main(args: list[str] | None = None) -> int:
             return 2
         from larkspan.sources.jsonl import read_manifest
 
-        for r in builder.append(spark, read_manifest(spark, given.training), given.new, given.output).limit(5).collect():
+        for r in builder.append(spark, read_manifest(spark, given.training), given.new, given.output, given.backup).limit(5).collect():
             log.warning(r["message"])
         return 0
     except config.ConfigError as problem:
@@ -67,7 +69,12 @@ def _mine(spark: SparkSession, given: argparse.Namespace) -> int:
 
     with open(given.model, "rb") as f:
         content = f.read()
-    signals = read_audio(spark, given.audio).select(F.col("path").alias("signal_id"), "audio")
+    try:
+        files = read_audio(spark, given.audio)
+    except AnalysisException:
+        log.error("no file matches %s", given.audio)
+        return 2
+    signals = files.select(F.col("path").alias("signal_id"), "audio")
     clips = builder.mine(signals, lambda: onnx_model(content), given.threshold)
     write_manifest(builder.mined_manifest(clips, given.threshold), given.output)
     return 0

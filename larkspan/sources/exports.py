@@ -77,6 +77,41 @@ def dump_dense(matrix: DataFrame, folder: str, split: str) -> tuple[int, ...]:
     return x.shape
 
 
+def load_dense(spark: SparkSession, folder: str, split: str) -> DataFrame:
+    """``position, values, label`` of a dense export of samples; shapes, lengths and labels that don't fit are an error."""
+    top = Path(folder)
+    x, y = np.load(top / f"X_{split}.npy"), np.load(top / f"y_{split}.npy")
+    if x.ndim < 2:
+        raise ValueError(f"X has {x.ndim} dimensions; at least 2 are needed")
+    if len(x) != len(y):
+        raise ValueError(f"{len(x)} rows but {len(y)} labels")
+    if not set(np.unique(y).tolist()) <= {0, 1}:
+        raise ValueError("labels other than 0 and 1")
+    rows = [(k, v, int(label)) for k, (v, label) in enumerate(zip(x.reshape(len(x), -1).tolist(), y, strict=True))]
+    return spark.createDataFrame(rows, "position long, values array<float>, label int")
+
+
+def dump_features(features: DataFrame, folder: str, split: str, order: str) -> int:
+    """Ragged features ``mel(bands x frames), label, seconds``: data, indices (n x 2, in values), labels, durations in milliseconds and shape; returns the number of clips."""
+    top = Path(folder)
+    top.mkdir(parents=True, exist_ok=True)
+    index, labels, durations, at, bands = [], [], [], 0, 40
+    with (top / f"{split}_data.mmap").open("wb") as out:
+        for r in features.select("mel", "label", "seconds", order).orderBy(order).toLocalIterator():
+            m = np.asarray(r["mel"], np.float32)
+            bands = len(m) or bands
+            out.write(m.tobytes())
+            index.append((at, at + m.size))
+            labels.append(r["label"])
+            durations.append(int(r["seconds"] * 1000))
+            at += m.size
+    np.save(top / f"{split}_indices.npy", np.array(index, np.int64).reshape(-1, 2))
+    np.save(top / f"{split}_labels.npy", np.array(labels, np.int32))
+    np.save(top / f"{split}_durations.npy", np.array(durations, np.int64))
+    np.save(top / f"{split}_shape.npy", np.array([at // bands, bands], np.int64))
+    return len(labels)
+
+
 def check_ragged(index: DataFrame, data_size: int | None = None) -> DataFrame:
     """``rule, severity, message, n`` for each broken rule of ``index(start, end, label)``, in one pass."""
     rules = [

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import os
+import uuid
 import wave
 from collections.abc import Iterator
 
@@ -10,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from larkspan.functions.dsp import resample
 from larkspan.shipping import ship
@@ -90,3 +93,37 @@ def list_impulses(spark: SparkSession, path: str) -> DataFrame:
     """``path, kind, length`` of the WAV and FLAC files in a folder, WAV first, by name."""
     files = spark.read.format("binaryFile").load(path).select("path", "length").where(F.lower("path").rlike("[.](wav|flac)$"))
     return files.withColumn("kind", F.when(F.lower("path").endswith(".wav"), 0).otherwise(1)).orderBy("kind", "path")
+
+
+class _WavWriter(DataSourceWriter):
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def write(self, rows) -> WriterCommitMessage:
+        """Each file gets its name once it is whole, so a task that runs again leaves no half of one."""
+        for r in rows:
+            path = os.path.join(self.folder, r["path"])
+            os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+            held = f"{path}.{uuid.uuid4().hex}.part"
+            with open(held, "wb") as f:
+                f.write(encode(np.asarray(r["audio"] or [], np.float64), r["sample_rate"]))
+            os.replace(held, path)
+        return WriterCommitMessage()
+
+
+class WavFiles(DataSource):
+    """A sink of WAV files, one per row, under a folder that all executors have mounted."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "larkspan_wav"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _WavWriter(self.options["path"])
+
+
+def write_audio(clips: DataFrame, folder: str) -> None:
+    """Write ``clips(path, audio, sample_rate)`` as files ``folder/path``, in parallel on the executors."""
+    ship(clips.sparkSession)
+    clips.sparkSession.dataSource.register(WavFiles)
+    clips.select("path", "audio", "sample_rate").write.format("larkspan_wav").mode("append").option("path", folder).save()

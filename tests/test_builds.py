@@ -81,6 +81,11 @@ def test_mine_and_append(spark, tmp_path):
     assert [r["message"] for r in errors.collect()] == ["Line 4: not JSON"]
     got = spark.read.json(str(tmp_path / "merged")).orderBy("path").collect()
     assert [(r["path"], r["duration_ms"], r["backend"]) for r in got] == [("a.wav", 5, "b"), ("t.wav", 7, None)]
+    assert len(list(tmp_path.glob("merged.*.backup"))) == 1
+    listing = spark.createDataFrame([("t.wav",)], "path string")
+    with pytest.raises(ValueError, match="missing"):
+        builder.append(spark, training, str(tmp_path / "new.jsonl"), str(tmp_path / "again"), listing=listing)
+    assert not (tmp_path / "again").exists()
 
 
 def test_synthesis(spark):
@@ -124,6 +129,25 @@ def test_scores_come_from_the_model(spark):
     assert scoring.score(windows, lambda: lambda a: float(a.sum())).first()["prediction"] == 4.0
 
 
+def field(number, value):
+    """A field of a protocol buffer: a number, or bytes."""
+    size = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + size(n >> 7)
+    return size(number << 3) + size(value) if isinstance(value, int) else size(number << 3 | 2) + size(len(value)) + value
+
+
+def test_onnx_model(spark):
+    """A model of one node, the mean of its input, written by hand."""
+    pytest.importorskip("onnxruntime")
+    shape = field(2, field(1, field(1, 1)) + field(1, field(2, b"n")))
+    tensor = lambda name: field(1, name) + field(2, field(1, field(1, 1) + shape))
+    out = field(1, b"y") + field(2, field(1, field(1, 1)))
+    node = field(1, b"x") + field(2, b"y") + field(4, b"ReduceMean") + field(5, field(1, b"keepdims") + field(3, 0) + field(20, 2))
+    model = field(1, 7) + field(7, field(1, node) + field(2, b"g") + field(11, tensor(b"x")) + field(12, out)) + field(8, field(2, 13))
+    assert scoring.onnx_model(model)(np.array([1.0, 2.0, 6.0])) == 3.0
+    windows = spark.createDataFrame([(1, 0, 2, 0.0, [1.0, 3.0])], "signal_id long, window_start long, window_end long, timestamp double, samples array<float>")
+    assert scoring.score(windows, lambda: scoring.onnx_model(model)).first()["prediction"] == 2.0
+
+
 def test_command_line(tmp_path):
     import yaml
 

@@ -142,6 +142,26 @@ def test_wav_round_trip(spark, tmp_path):
     assert wav.list_noise(spark, str(tmp_path)).count() == 1
 
 
+def test_wav_sink(spark, tmp_path):
+    clips = spark.createDataFrame([(f"d/{k}.wav", [0.1 * k] * 10, 16000) for k in range(5)], "path string, audio array<float>, sample_rate int")
+    wav.write_audio(clips.repartition(3), str(tmp_path))
+    got = {r["path"].rsplit("/", 1)[-1]: r["audio"] for r in wav.read_audio(spark, str(tmp_path / "d")).collect()}
+    assert sorted(got) == [f"{k}.wav" for k in range(5)] and np.allclose(got["3.wav"], 0.3, atol=1e-4)
+
+
+def test_features_and_matrices_on_disk(spark, tmp_path):
+    mels = spark.createDataFrame([(0, [[1.0, 2.0], [3.0, 4.0]], 1, 0.5), (1, [[5.0], [6.0]], 0, 0.25)], "position long, mel array<array<float>>, label int, seconds double")
+    assert exports.dump_features(mels, str(tmp_path), "f", "position") == 2
+    assert np.load(tmp_path / "f_indices.npy").tolist() == [[0, 4], [4, 6]] and np.load(tmp_path / "f_shape.npy").tolist() == [3, 2] and np.load(tmp_path / "f_durations.npy").tolist() == [500, 250]
+    np.save(tmp_path / "X_a.npy", np.zeros((2, 3), np.float32))
+    for labels, said in (([0, 1, 1], "labels"), ([0, 5], "other than")):
+        np.save(tmp_path / "y_a.npy", np.array(labels))
+        with pytest.raises(ValueError, match=said):
+            exports.load_dense(spark, str(tmp_path), "a")
+    np.save(tmp_path / "y_a.npy", np.array([0, 1]))
+    assert exports.load_dense(spark, str(tmp_path), "a").count() == 2
+
+
 def test_ragged_and_dense_files(spark, tmp_path):
     clips = spark.createDataFrame([(0, [1.0, 2.0], 1), (1, [3.0], 0), (2, [], 1)], "position long, audio array<float>, label int")
     assert exports.dump_ragged(clips, str(tmp_path), "train", "position") == 3
