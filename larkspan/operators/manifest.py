@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.draws import order_key
+from larkspan.operators.prefix import smallest
+from larkspan.tables import Workspace
 
 #: Rules that a row must keep to be written, with what is said of a breach.
 RULES: list[tuple[str, str]] = [
@@ -58,7 +60,7 @@ def union(*manifests: DataFrame) -> DataFrame:
 
 def downsample(negatives: DataFrame, target: int, seed: int = 42) -> DataFrame:
     """``target`` negatives by a draw on their paths; all if there are no more."""
-    return negatives.orderBy(order_key(seed, "ratio", F.col("path")), "path").limit(target)
+    return smallest(Workspace(negatives.sparkSession, "downsample"), negatives, "ranked", [order_key(seed, "ratio", F.col("path")).asc(), F.col("path").asc()], target)
 
 
 def merge(positives: DataFrame, negatives: DataFrame, ratio: float | None = None, seed: int | None = 42) -> DataFrame:

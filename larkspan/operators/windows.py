@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.operators.prefix import prefix_sums
+from larkspan.tables import Workspace, lookup
+
 
 def check_windows(window: int, hop: int, chunk: float | None = None) -> None:
     if window <= 0:
@@ -53,8 +58,20 @@ def first_of_start(predictions: DataFrame, order: str) -> DataFrame:
     return predictions.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
-def running_offsets(rows: DataFrame, size: str, order: str, by: list[str]) -> DataFrame:
-    """Add ``start`` and ``end``: where each row's data lies if those of its group follow one another."""
+def running_offsets(rows: DataFrame, size: str, order: str, by: list[str], large: bool = False) -> DataFrame:
+    """Add ``start`` and ``end``: where each row's data lies if those of its group follow one another.
+
+    ``large``: for groups that no task should hold, such as one split of a whole corpus. Prefix sums over ranges of
+    (group, order) are taken then, less the sum before the group's first row.
+    """
+    if large:
+        ws = Workspace(rows.sparkSession, "offsets")
+        order_by = [F.col(c).asc_nulls_last() for c in (*by, order)]
+        placed = ws.table(prefix_sums(ws, ws.table(rows, "rows"), "ranked", order_by, {"__at": size}), "placed")
+        firsts = placed.groupBy(*[F.col(c).alias(f"__by_{c}") for c in by]).agg(F.min("__at").alias("__first"))
+        on = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__by_{c}")), by, F.lit(True))
+        joined = placed.join(lookup(firsts), on)
+        return joined.select(*rows.columns, (F.col("__at") - F.col("__first")).alias("start"), (F.col("__at") - F.col("__first") + F.col(size)).cast("long").alias("end"))
     before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long")
     return rows.withColumn("start", start).withColumn("end", F.col("start") + F.col(size).cast("long"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.operators.prefix import prefix_sums
+from larkspan.tables import Workspace, at_most
+
 VERSION = "v3"
 DEFAULT_LIMIT_MB = 1000
 
@@ -14,8 +17,12 @@ def cache_key(text: Column, voice: Column, backend: Column, speed: Column, optio
     return F.sha2(F.concat_ws("\0", F.lit(VERSION), text, voice, backend, speed.cast("string"), options if options is not None else F.lit("{}")), 256)
 
 
-def keep_recent(entries: DataFrame, limit_bytes: int) -> DataFrame:
-    """Entries ``key, bytes, last_access`` that stay when the oldest go until the rest fits. The index is one small row per clip."""
+def keep_recent(entries: DataFrame, limit_bytes: int, sorted_in_memory: int = 1_000_000) -> DataFrame:
+    """Entries ``key, bytes, last_access`` that stay when the oldest go until the rest fits. A large index goes through prefix sums over ranges."""
+    if not at_most(entries, sorted_in_memory):
+        ws = Workspace(entries.sparkSession, "cache")
+        placed = prefix_sums(ws, ws.table(entries, "entries"), "ranked", [F.col("last_access").desc(), F.col("key").desc()], {"__before": "bytes"})
+        return placed.where(F.col("__before") + F.col("bytes") <= limit_bytes).drop("__before")
     newer = Window.orderBy(F.col("last_access").desc(), F.col("key").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return entries.withColumn("total", F.sum("bytes").over(newer)).where(F.col("total") <= limit_bytes).drop("total")
 

@@ -97,3 +97,28 @@ def test_split_checks(spark):
 def test_allocation(spark):
     table = spark.createDataFrame([("a", 0.6), ("b", 0.4)], "source string, weight double")
     assert {r["source"]: r["n"] for r in assignment.allocate(table, 7).collect()} == {"a": 4, "b": 3}
+
+
+def test_large_tables_take_the_same_rows_by_ranks(spark):
+    from pyspark.sql import functions as F
+
+    from larkspan.operators.prefix import prefix_sums, smallest
+    from larkspan.operators.windows import running_offsets
+    from larkspan.sources import cache
+    from larkspan.tables import Workspace
+
+    ws = Workspace(spark, "test")
+    df = spark.range(500).select("id", F.md5(F.col("id").cast("string")).alias("k"), (F.col("id") % 7).alias("n"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"))
+    order = [F.col("k").asc()]
+    few, many = ({r["id"] for r in smallest(ws, df, f"s{m}", order, 120, m).collect()} for m in (1000, 5))
+    assert few == many and len(few) == 120
+    placed = prefix_sums(ws, ws.table(df, "rows"), "placed", order, {"before": "n"}, rows_per_slice=30).orderBy("k").collect()
+    total = 0
+    for r in placed:
+        assert r["before"] == total
+        total += r["n"]
+    a, b = (sorted(map(str, running_offsets(df, "n", "id", ["g"], large).collect())) for large in (False, True))
+    assert a == b
+    entries = df.select(F.col("k").alias("key"), (F.col("n") + 1).alias("bytes"), F.floor(F.col("id") / 9).alias("last_access"))
+    a, b = (sorted(map(str, cache.keep_recent(entries, 700, m).collect())) for m in (1000, 5))
+    assert a == b and a
