@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.prefix import prefix_sums
-from larkspan.llm.shared import Workspace, lookup, row_key, word_count
+from larkspan.llm.shared import row_key, word_count
+from larkspan.operators.prefix import prefix_sums
+from larkspan.tables import Workspace, lookup
 
 WEIGHTS = (5, 2, 1)
 #: No source gives more than this many times its own words.

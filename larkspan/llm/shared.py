@@ -1,56 +1,13 @@
-"""Tables that all executors can read, and small helpers that several operators need.
-
-Intermediate results that are read more than once are written as Parquet under the folder named by
-``spark.checkpoint.dir``, which every executor shares. Losing an executor therefore never loses a
-result that a later step depends on.
-"""
+"""Small helpers that several operators need."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.shipping import ship
-
 #: ASCII white space that separates words.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
-#: The temporary folder of each application that has no shared one.
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        found = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="larkspan-"))
-    return found.rstrip("/")
-
-
-class Workspace:
-    """A folder of its own within the shared folder."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        ship(spark)
-        self.spark = spark
-        self.path = f"{shared_folder(spark)}/{re.sub('[^a-z0-9]+', '-', name.lower())}-{uuid.uuid4().hex}"
-
-    def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Write ``df`` and return a DataFrame that reads the files."""
-        path = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_count(text: str) -> Column:
@@ -62,13 +19,3 @@ def row_key(df: DataFrame) -> list[Column]:
     """Two independent 64-bit hashes of all columns: together they identify a row up to exact repeats."""
     columns = [F.col(f"`{c}`") for c in df.columns]
     return [F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)]
-
-
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has no more than ``rows`` rows: the size check in front of a broadcast."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def lookup(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Mark a table for broadcast if it is checked to be small; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if at_most(df, rows) else df

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from larkspan.llm.components import components
 from larkspan.llm.gray_index import links
-from larkspan.llm.shared import Workspace, row_key
+from larkspan.llm.shared import row_key
+from larkspan.tables import Workspace
 
 #: Hashes whose bits are counted at a time.
 _CHUNK = 1 << 14
