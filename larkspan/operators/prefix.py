@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from larkspan.tables import Workspace
 
 SLICE = "__slice"
+#: Slices of a table, at most. One row per slice is broadcast, so this bounds it; larger tables have longer slices.
+MOST_SLICES = 20_000
 
 
 def prefix_sums(ws: Workspace, df: DataFrame, name: str, order: list[Column], sums: dict[str, str], rows_per_slice: int = 50_000) -> DataFrame:
@@ -24,11 +26,11 @@ def prefix_sums(ws: Workspace, df: DataFrame, name: str, order: list[Column], su
     rows that are equal in all columns. Numbers are summed as longs. Empty tables give empty results.
     """
     rows = df.count()
-    slices = max(1, -(-rows // rows_per_slice))
+    slices = max(1, min(MOST_SLICES, -(-rows // rows_per_slice)))
     dealt = ws.table(df.repartitionByRange(slices, *order).withColumn(SLICE, F.spark_partition_id()), name)
     totals = dealt.groupBy(SLICE).agg(*[F.sum(c).cast("long").alias(f"__of_{out}") for out, c in sums.items()])
     before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per slice: the table grows with the number of ranges, rows / rows_per_slice.
+    # One row per slice, so MOST_SLICES rows at most.
     offsets = totals.select(SLICE, *[F.coalesce(F.sum(f"__of_{out}").over(before), F.lit(0)).alias(f"__at_{out}") for out in sums])
     within = Window.partitionBy(SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = dealt.join(F.broadcast(offsets), SLICE)

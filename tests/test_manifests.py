@@ -122,3 +122,17 @@ def test_large_tables_take_the_same_rows_by_ranks(spark):
     entries = df.select(F.col("k").alias("key"), (F.col("n") + 1).alias("bytes"), F.floor(F.col("id") / 9).alias("last_access"))
     a, b = (sorted(map(str, cache.keep_recent(entries, 700, m).collect())) for m in (1000, 5))
     assert a == b and a
+
+
+def test_the_number_of_slices_is_bounded(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from larkspan.operators import prefix
+    from larkspan.tables import Workspace
+
+    monkeypatch.setattr(prefix, "MOST_SLICES", 3)
+    ws = Workspace(spark, "test")
+    df = ws.table(spark.createDataFrame([(k, k % 5) for k in range(200)], "k long, n long"), "rows")
+    placed = prefix.prefix_sums(ws, df, "placed", [F.col("k").asc()], {"before": "n"}, rows_per_slice=10).orderBy("k").collect()
+    assert [r["before"] for r in placed] == [sum(i % 5 for i in range(k)) for k in range(200)]
+    assert spark.read.parquet(f"{ws.path}/placed").select(prefix.SLICE).distinct().count() <= 3
