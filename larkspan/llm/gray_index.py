@@ -17,9 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.operators.prefix import prefix_sums
 from larkspan.tables import Workspace
 
 FAN = 16
@@ -153,12 +154,16 @@ def links(prints: DataFrame, radius: int, far: int | None = None, most: int = 20
 
 
 def _between_runs(ws: Workspace, rows: DataFrame, radius: int, far: int | None, most: int, columns: list[str]) -> DataFrame:
-    """The same within large buckets: runs of ``most / 2`` rows in Gray order, and pairs of runs whose shared bits allow a link."""
+    """The same within large buckets: runs of up to ``most / 2`` rows in Gray order, and pairs of runs whose shared bits allow a link.
+
+    Places in the order come from prefix sums over all large buckets, so no task sorts a whole bucket.
+    """
     rows = rows.withColumn("__g", F.col("print"))
     for by in (1, 2, 4, 8, 16, 32):
         rows = rows.withColumn("__g", F.expr(f"__g ^ shiftrightunsigned(__g, {by})"))
-    order = Window.partitionBy("block", "value").orderBy("__g", "print", "node")
-    runs = ws.table(rows.withColumn("run", F.floor((F.row_number().over(order) - 1) / max(1, most // 2)).cast("int")), "runs")
+    rows = ws.table(rows.withColumn("__one", F.lit(1).cast("long")), "large")
+    placed = prefix_sums(ws, rows, "placed", [F.col(c).asc() for c in ("block", "value", "__g", "print", "node")], {"__at": "__one"})
+    runs = ws.table(placed.withColumn("run", F.expr(f"__at div {max(1, most // 2)}L")).drop("__g", "__at", "__one"), "runs")
     # A run is a node of the index: bits that are one, and bits that are zero, in all its rows.
     nodes = runs.groupBy("block", "value", "run").agg(F.expr("bit_and(print)").alias("ones"), F.expr("bit_and(~print)").alias("zeros"))
     left, right = nodes.alias("l"), nodes.alias("r")
