@@ -74,8 +74,24 @@ def features(findings: DataFrame) -> DataFrame:
     )
 
 
+def total(numbers: Column) -> Column:
+    """Sum of an array of longs."""
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def running_sums(numbers: Column, start: Column | None = None) -> Column:
+    """Sums of an array of longs up to each place. Each step copies the sums so far, so it is for short arrays."""
+    first = F.struct((F.lit(0) if start is None else start).cast("long").alias("at"), F.array().cast("array<long>").alias("sums"))
+    return F.aggregate(numbers, first, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["sums"], F.array(s["at"] + x)).alias("sums")), lambda s: s["sums"])
+
+
+def in_blocks(numbers: Column, size: int = 256) -> Column:
+    """An array cut into arrays of ``size``: running sums of each, on top of those of the blocks' totals, stay cheap in very long texts."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(numbers) - 1) / size).cast("int"))), lambda k: F.slice(numbers, k * size + 1, size))
+
+
 def candidates(texts: DataFrame) -> DataFrame:
-    """``start, candidate, before, after`` and the columns of ``texts(text, ...)`` for each candidate; ``start`` counts characters from 1.
+    """``start, candidate, before, after`` and the other columns of ``texts(text, ...)`` for each candidate; ``start`` counts characters from 1. The text isn't repeated.
 
     A candidate is a run of ``LEAST`` or more letters, digits and ``+/_.~=-`` with a digit, or with lower and
     upper case mixed within, or after an assignment; ``before`` and ``after`` are up to 40 characters around.
@@ -83,17 +99,22 @@ def candidates(texts: DataFrame) -> DataFrame:
     # The text is cut at candidates: piece k stands before candidate k.
     found = texts.where(F.col("text").rlike(_CANDIDATE)).withColumn("__all", F.regexp_extract_all("text", F.lit(f"({_CANDIDATE})"), F.lit(1)))
     found = found.withColumn("__gaps", F.split("text", _CANDIDATE))
-    sizes = F.transform(F.arrays_zip("__gaps", F.concat("__all", F.array(F.lit("")))), lambda p: F.length(p["__gaps"]))
-    ends = F.aggregate(
-        F.arrays_zip(sizes.alias("gap"), F.transform("__all", F.length).alias("own")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda s, p: F.struct((s["at"] + F.coalesce(p["gap"], F.lit(0)) + F.coalesce(p["own"], F.lit(0))).cast("int").alias("at"), F.concat(s["starts"], F.array((s["at"] + F.coalesce(p["gap"], F.lit(0)) + 1).cast("int"))).alias("starts")),
-        lambda s: s["starts"],
+    steps = F.transform("__all", lambda c, k: (F.length(F.element_at("__gaps", k + 1)) + F.length(c)).cast("long"))
+    found = found.withColumn("__steps", steps).withColumn("__blocks", in_blocks(F.col("__steps"))).withColumn("__before", running_sums(F.transform("__blocks", total)))
+    found = found.withColumn("__ends", F.flatten(F.transform("__blocks", lambda own, k: running_sums(own, F.element_at("__before", k + 1) - total(own)))))
+    each = F.transform(
+        "__all",
+        lambda c, k: F.struct(
+            c.alias("candidate"),
+            (F.element_at("__ends", k + 1) - F.length(c) + 1).cast("int").alias("start"),
+            F.substring(F.element_at("__gaps", k + 1), -40, 40).alias("before"),
+            F.substring(F.element_at("__gaps", k + 2), 1, 40).alias("after"),
+        ),
     )
-    rows = found.withColumn("__starts", ends).select(*[F.col(f"`{c}`") for c in texts.columns], "__gaps", "__starts", F.posexplode("__all").alias("__k", "candidate"))
-    rows = rows.withColumns({"start": F.element_at("__starts", F.col("__k") + 1), "before": F.substring(F.element_at("__gaps", F.col("__k") + 1), -40, 40), "after": F.substring(F.element_at("__gaps", F.col("__k") + 2), 1, 40)})
+    others = [F.col(f"`{c}`") for c in texts.columns if c != "text"]
+    rows = found.select(*others, F.explode(each).alias("__f")).select(*others, "__f.*")
     generated = F.col("candidate").rlike("[0-9]") | F.col("candidate").rlike("[a-z].*[A-Z].*[a-z].*[A-Z]") | F.lower("before").rlike(f"({NAMES})[^ ]* ?[:=]>? ?[\"'`]?$")
-    return rows.where(generated).drop("__gaps", "__starts", "__k")
+    return rows.where(generated)
 
 
 def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
