@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.shipping import ship
@@ -125,9 +125,15 @@ def _scan(queries: tuple[np.ndarray, np.ndarray], most: int):
 
 
 def _merged(found: DataFrame, most: int) -> DataFrame:
-    """``query_id, best``: the nearest over all rows of ``found``; ``best`` holds (negative score, id) in order."""
-    pairs = F.transform(F.arrays_zip("ids", "scores"), lambda p: F.struct((-p["scores"]).alias("away"), p["ids"].alias("vec_id")))
-    return found.select("query_id", pairs.alias("pairs")).groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))), 1, most).alias("best"))
+    """``query_id, best``: the nearest over all rows of ``found``; ``best`` holds (negative score, id) in order.
+
+    Each table gives a vector at most once, so the ``most`` nearest are among a query's first ``TABLES`` x ``most``
+    rows. Those are picked before and after the shuffle; nothing longer is collected, however many tasks answer.
+    """
+    pairs = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("p")).select("query_id", (-F.col("p.scores")).alias("away"), F.col("p.ids").alias("vec_id"))
+    order = Window.partitionBy("query_id").orderBy("away", "vec_id")
+    first = pairs.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= TABLES * most)
+    return first.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct("away", "vec_id")))), 1, most).alias("best"))
 
 
 def clean(vectors: DataFrame) -> tuple[DataFrame, int]:
@@ -244,8 +250,11 @@ def search(vectors: DataFrame, every: int = 20, most: int = 20, sample: int = SA
     enough = min(most, total - 1)
     full = best.where(F.size("best") >= enough)
     short = queries.join(full.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti") if enough else queries.limit(0)
-    rest = short.toLocalIterator()
+    rest, paths = short.toLocalIterator(), []
     while block := list(itertools.islice(rest, 1024)):
         asked = (np.array([r["vec_id"] for r in block], np.int64), np.array([r["vector"] for r in block], np.float64))
-        full = full.unionByName(_merged(rows.mapInPandas(_scan(asked, most), _FOUND), most))
+        paths.append(f"{ws.path}/scanned/{len(paths)}")
+        _merged(rows.mapInPandas(_scan(asked, most), _FOUND), most).write.parquet(paths[-1])
+    if paths:
+        full = full.unionByName(spark.read.schema(best.schema).parquet(*paths))
     return full.select("query_id", F.posexplode("best").alias("__k", "__p")).select("query_id", (F.col("__k") + 1).cast("int").alias("rank"), F.col("__p.vec_id").alias("vec_id"), (-F.col("__p.away")).alias("score"))

@@ -102,6 +102,23 @@ def test_findings(spark, scanner):
     assert secret_scan.scan_documents(odd_docs(spark), scanner).columns == ["doc_id", "start", "candidate", "score", "is_secret"]
 
 
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
+def test_running_sums_in_blocks(spark, n):
+    blocks = secret_scan.in_blocks(F.col("x"))
+    before = secret_scan.running_sums(F.transform(blocks, secret_scan.total))
+    whole = F.flatten(F.transform(blocks, lambda own, k: secret_scan.running_sums(own, F.element_at(before, k + 1) - secret_scan.total(own))))
+    numbers = [k * 7 % 13 for k in range(n)]
+    assert spark.createDataFrame([(numbers,)], "x array<long>").select(whole).first()[0] == np.cumsum(numbers).tolist()
+
+
+def test_findings_of_a_very_long_text(spark, scanner):
+    """Offsets come in time in proportion to the text, and each candidate lies where its offset says."""
+    text = " ".join(f"commit {k:040x} {'ü' * (k % 3)}und" for k in range(30_000))
+    got = secret_scan.candidates(spark.createDataFrame([(1, text, "src")], "doc_id long, text string, path string")).orderBy("start").collect()
+    assert len(got) == 30_000
+    assert all(text[r["start"] - 1 : r["start"] + 39] == r["candidate"] == f"{k:040x}" and text[: r["start"] - 1].endswith(r["before"]) for k, r in enumerate(got))
+
+
 def test_held_out_findings(spark, scanner):
     other = secret_scan.labelled_findings(spark, 9000).where("candidate is not null").exceptAll(secret_scan.labelled_findings(spark))
     from pyspark.ml.feature import VectorAssembler
@@ -163,6 +180,16 @@ def test_small_parts_and_groups_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, neighbours.search(df, 5, 10).collect())) == whole
 
 
+def test_queries_with_too_few_candidates_are_scanned(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=8).astype(np.float32).tolist()) for k in range(300)]
+    monkeypatch.setattr(neighbours, "_reach", lambda *_: 0.0)
+    got = {}
+    for r in neighbours.search(spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS), 10, 15).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for i, _ in found] for q, found in slow_search(rows, 10, 15).items()}
+
+
 def test_odd_vectors(spark):
     good = [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (40, [0.0, 1.0])]
     bad = [(None, [1.0, 1.0]), (60, None), (4, [0.0, 0.0]), (5, [1.0, None]), (80, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0]), (8, []), (1, [1.0, 0.0])]
