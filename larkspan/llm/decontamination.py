@@ -32,6 +32,8 @@ SPAN, IDENTITY = 13, 0.75
 BLOCK_TOKENS = 2_000_000
 #: Texts of about so many characters are matched at a time.
 BATCH = 1 << 21
+#: Hits that are held at a time, about. Items that share a template give many; they are compared in turns.
+HITS = 1 << 19
 _TOKEN = re.compile(r"\w+")
 _FACTOR = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(max(map(len, MASKS)))]
 
@@ -96,6 +98,15 @@ def best_overlap(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int, in
     return low + start, end - start, int(same[start:end].sum())
 
 
+def _turns(entries: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of places with ``most`` entries or fewer together, or of one place, whose entries the block bounds."""
+    ends, at = np.cumsum(entries), 0
+    while at < len(entries):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
 def overlaps(block: Seeds, texts: list[str | None], span: int = SPAN, identity: float = IDENTITY) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start in the text, span, agreeing) of the best overlap of each text and item that reaches the limits."""
     get = block.numbers.get
@@ -106,25 +117,33 @@ def overlaps(block: Seeds, texts: list[str | None], span: int = SPAN, identity:
     starts = np.cumsum([0] + [len(o) + len(gap) for o in own])
     hashes = block.hashes[joined]
     known = np.concatenate([[0], np.cumsum(joined > 0)])
-    hits = set()
+    hits: set[tuple[int, int, int]] = set()
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+    def compare() -> None:
+        for text, k, shift in hits:
+            sequence = block.sequences[k]
+            start, length, agree = best_overlap(sequence, own[text], shift)
+            if length >= min(span, len(sequence)) and agree >= identity * length:
+                best[text, k] = max(best.get((text, k), (0, 0, 0)), (agree, length, -(start + shift)))
+        hits.clear()
+
     for mask, keys, item, at, sieve in block.tables:
         found = masked(hashes, mask)
         places = np.flatnonzero(sieve[(found >> np.uint64(42)).astype(np.int64)])
         places = places[known[places + len(mask)] - known[places] >= mask.count("1")]
         left, right = np.searchsorted(keys, found[places], "left"), np.searchsorted(keys, found[places], "right")
-        many = right - left
-        place = np.repeat(places, many)
-        entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(left, many)
-        text = np.searchsorted(starts, place, "right") - 1
-        shift = place - starts[text] - at[entry]
-        # One comparison for each text, item and shift, however many seeds hit.
-        hits |= set(zip(text.tolist(), item[entry].tolist(), shift.tolist(), strict=True))
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for text, k, shift in hits:
-        sequence = block.sequences[k]
-        start, length, agree = best_overlap(sequence, own[text], shift)
-        if length >= min(span, len(sequence)) and agree >= identity * length:
-            best[text, k] = max(best.get((text, k), (0, 0, 0)), (agree, length, -(start + shift)))
+        for a, b in _turns(right - left, HITS):
+            many = right[a:b] - left[a:b]
+            place = np.repeat(places[a:b], many)
+            entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(left[a:b], many)
+            text = np.searchsorted(starts, place, "right") - 1
+            shift = place - starts[text] - at[entry]
+            # One comparison for each text, item and shift, however many seeds hit.
+            hits |= set(zip(text.tolist(), item[entry].tolist(), shift.tolist(), strict=True))
+            if len(hits) > HITS:
+                compare()
+    compare()
     for sequence, items in block.short.items():
         size = len(sequence)
         for text, o in enumerate(own):

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from larkspan.llm import components, decontamination, gray_index, languages, mixing, sharding, simhash, substrings, tokens
-from tests.llm.helpers import SCHEMA, corpus, no_docs, odd_docs, odd_rows
+from tests.llm.helpers import SCHEMA, corpus, no_docs, odd_docs, odd_rows, words
 
 
 def docs_of(spark, texts):
@@ -399,6 +399,19 @@ def test_contamination_of_odd_rows(spark):
     assert decontamination.contaminations(no_docs(spark), bench).count() == 0 and decontamination.decontaminated(no_docs(spark), bench).count() == 0
 
 
+def test_items_with_one_template_are_compared_in_turns(monkeypatch):
+    rng = random.Random(3)
+    template = words(rng, 12)
+    rows = [(k, [*template, *words(rng, 20)]) for k in range(60)]
+    block = decontamination.seeds(rows)
+    texts = [" ".join([*words(rng, 15), *template] * 8), " ".join([*words(rng, 9), *rows[7][1], *template, *rows[31][1][4:]]), None, ""]
+    whole = decontamination.overlaps(block, texts)
+    assert {(t, k) for t, k, *_ in whole} >= {(1, 7), (1, 31)}
+    for most in (1, 50, 1000):
+        monkeypatch.setattr(decontamination, "HITS", most)
+        assert decontamination.overlaps(block, texts) == whole
+
+
 def test_masks_ignore_their_gaps():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 14, dtype=np.uint64)
