@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from larkspan.llm.components import components
 from larkspan.llm.gray_index import links
 from larkspan.llm.shared import row_key
-from larkspan.tables import Workspace
+from larkspan.operators.prefix import prefix_sums
+from larkspan.tables import Workspace, lookup
 
 #: Hashes whose bits are counted at a time.
 _CHUNK = 1 << 14
@@ -101,40 +102,128 @@ def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def signature(text: str | None, shingle_words: int, kinds: int, wide: int) -> tuple[np.ndarray, bytes]:
-    """Prints of a document's distinct words, one per kind, and the wide print of its distinct shingles."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(kinds, np.uint64), bytes(8 * wide)
-    single = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in set(words)), np.uint64)
-    shingles = np.unique(shingle_hashes(words, shingle_words))
-    return _majority(_spread(single, kinds)), _majority(_spread(shingles, wide)).tobytes()
-
-
-def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 4, kinds: int = 4, wide: int = 8) -> DataFrame:
-    """``__k1, __k2, doc_id, __root`` for each row of ``docs(doc_id, text)``: groups at a similarity of word shingles.
-
-    A 64-bit print of shingles differs in about ten bits at similarity 0.8, too many for an index over a
-    large corpus. So candidates come from prints of single distinct words, which an edit changes much
-    less: ``kinds`` independent ones, each through the Gray-order index at ``radius``. A candidate links if
-    the wide print of its shingles (``wide`` x 64 bits) says that their similarity is reached. Rows
-    with the same signature form one class. Empty tables, nulls and repeats are as in ``near_groups``.
+def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles."""
+    return np.unique(shingle_hashes((text or "").encode().lower().split(), shingle_words))
+
+
+def bands(shingles: np.ndarray, count: int, rows: int) -> np.ndarray:
+    """``count`` hashes, each of ``rows`` least hashes of the set under mixes of their own; none of no shingles."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    least = np.min([_spread(shingles[at : at + 1024], count * rows).min(axis=0) for at in range(0, len(shingles), 1024)], axis=0)
+    out = np.zeros(count, np.uint64)
+    for own in least.reshape(count, rows).T:
+        out = (out ^ own) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
+def linked(sets: list[np.ndarray], keys: np.ndarray, similarity: float, side: np.ndarray | None = None) -> np.ndarray:
+    """For each set the index of one that stands for all it reaches by links: pairs that share a band (``keys``, sets x bands) and whose exact Jaccard similarity is reached. With ``side``, only pairs of different sides."""
+    root, sizes = np.arange(len(sets)), np.array([len(x) for x in sets], np.int64)
+    for k in range(keys.shape[1]):
+        order = np.lexsort((sizes, keys[:, k]))
+        own = keys[order, k]
+        cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]]).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a < 2:
+                continue
+            members, changed = order[a:b], True
+            for at in range(len(members) - 1):
+                # A group of copies is one component after its first member.
+                if changed and (root[members] == root[members[0]]).all():
+                    break
+                i, changed = members[at], False
+                # Sizes go up, and a set below ``similarity`` of another's size can't reach it.
+                to = np.searchsorted(sizes[members], sizes[i] / similarity * (1 + 1e-9), "right")
+                others = members[at + 1 : to]
+                others = others[root[others] != root[i]]
+                if side is not None:
+                    others = others[side[others] != side[i]]
+                # A pair that shares an earlier band was compared there.
+                others = others[~(keys[others, :k] == keys[i, :k]).any(axis=1)]
+                for j in others.tolist():
+                    if root[i] == root[j]:
+                        continue
+                    x, y = sets[i], sets[j]
+                    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                    if common >= similarity * (len(x) + len(y) - common) * (1 - 1e-12):
+                        root[root == root[j]] = root[i]
+                        changed = True
+    return root
+
+
+def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, count: int = 28, rows: int = 6, most: int = 4_000_000) -> DataFrame:
+    """``__k1, __k2, doc_id, __root`` for each row of ``docs(doc_id, text)``: groups at an exact Jaccard similarity of word shingles.
+
+    Candidates are pairs that agree in one of ``count`` bands of ``rows`` least hashes of the shingles. At similarity s
+    a pair is missed with probability (1 - s ** rows) ** count: 2 in 10,000 at 0.8, whatever kind of edit made it. Every
+    candidate is decided by the exact similarity of the sets, in the task of its component of candidates; components
+    above ``most`` shingles are cut into runs by size and compared pairwise. Rows with one set of shingles form one
+    class. Empty tables, nulls and repeats are as in ``near_groups``.
     """
     ws = Workspace(docs.sparkSession, "similar")
     k1, k2 = row_key(docs)
+    texts = docs.select(k1.alias("__k1"), k2.alias("__k2"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            sets = [shingle_set(t, shingle_words) for t in part["text"]]
+            node = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
+            yield pd.DataFrame({"__k1": part["__k1"], "__k2": part["__k2"], "doc_id": part["doc_id"], "node": node, "weight": [len(s) + count for s in sets], "bands": [bands(s, count, rows) for s in sets]})
+
+    def edges_of(part: pd.DataFrame, side: np.ndarray | None = None) -> pd.DataFrame:
+        fresh = ~part["node"].duplicated().to_numpy()
+        nodes, sets = part["node"].to_numpy(np.int64)[fresh], [shingle_set(t, shingle_words) for t in part["text"][fresh]]
+        root = linked(sets, np.array([bands(s, count, rows) for s in sets]), similarity, None if side is None else side[fresh])
+        apart = root != np.arange(len(root))
+        return pd.DataFrame({"a": nodes[apart], "b": nodes[root[apart]]})
+
+    def within(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Partitions are sorted: one component at a time, whichever batches it came in.
+        held: list[pd.DataFrame] = []
         for part in parts:
-            found = [signature(t, shingle_words, kinds, wide) for t in part["text"]]
-            yield pd.DataFrame({"__k1": part["__k1"], "__k2": part["__k2"], "doc_id": part["doc_id"], "prints": [p.view(np.int64) for p, _ in found], "wide": [w for _, w in found]})
-
-    rows = docs.select(k1.alias("__k1"), k2.alias("__k2"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = rows.mapInPandas(run, "__k1 long, __k2 long, doc_id long, prints array<long>, wide binary")
-    signed = ws.table(signed.withColumn("node", F.xxhash64("prints", "wide")), "signed")
-    classes = ws.table(signed.groupBy("node").agg(F.first("prints").alias("prints"), F.first("wide").alias("wide")), "classes")
-    dealt = classes.select("node", "wide", F.posexplode("prints").alias("kind", "print"))
-    edges = links(dealt, radius, jaccard_bits(similarity, 64 * wide))
-    reach = components(edges)
+            roots = part["root"].to_numpy()
+            cuts = [0, *(np.flatnonzero(roots[1:] != roots[:-1]) + 1).tolist(), len(part)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own = part.iloc[a:b]
+                if held and len(own) and held[0]["root"].iloc[0] != own["root"].iloc[0]:
+                    yield edges_of(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(own) if len(own) else None
+        if held:
+            yield edges_of(pd.concat(held, ignore_index=True))
+
+    def between(part: pd.DataFrame) -> pd.DataFrame:
+        same = part["first"].iloc[0] == part["second"].iloc[0]
+        return edges_of(part, None if same else part["run"].to_numpy())
+
+    signed = ws.table(texts.mapInPandas(sign, "__k1 long, __k2 long, doc_id long, node long, weight long, bands array<long>"), "signed")
+    one = F.min(F.struct("__k1", "__k2")).alias("one")
+    classes = ws.table(signed.groupBy("node").agg(one, F.first("weight").alias("weight"), F.first("bands").alias("bands")), "classes")
+    dealt = classes.select("node", F.posexplode("bands").alias("band", "value"))
+    buckets = ws.table(dealt.groupBy("band", "value").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
+    stars = dealt.join(buckets, ["band", "value"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    # Candidates of one another: a class outside of these has no text that moves.
+    near = classes.join(components(stars), "node").select("node", "root", "weight", F.col("one.__k1").alias("__k1"), F.col("one.__k2").alias("__k2"))
+    near = ws.table(near, "near")
+    large = ws.table(near.groupBy("root").agg(F.sum("weight").alias("all")).where(F.col("all") > most).select("root"), "large")
+    split = large.limit(1).count() > 0
+    own = texts.drop("doc_id")
+    small = lookup(near.join(large, "root", "left_anti") if split else near)
+    edges = own.join(small, ["__k1", "__k2"]).select("root", "node", "text").repartition("root").sortWithinPartitions("root", "node").mapInPandas(within, "a long, b long")
+    if split:
+        placed = prefix_sums(ws, ws.table(near.join(large, "root", "left_semi"), "many"), "placed", [F.col(c).asc() for c in ("root", "weight", "node")], {"__at": "weight"})
+        runs = ws.table(placed.withColumn("run", F.expr(f"__at div {max(1, most // 2)}L")).drop("__at"), "runs")
+        ends = runs.groupBy("root", "run").agg(F.min(F.col("weight") - count).alias("low"), F.max(F.col("weight") - count).alias("high"))
+        left, right = ends.alias("l"), ends.alias("r")
+        meet = (F.col("l.root") == F.col("r.root")) & (F.col("l.run") <= F.col("r.run")) & (F.col("l.high") >= F.col("r.low") * (similarity - 1e-9))
+        pairs = left.join(right, meet).select("l.root", F.col("l.run").alias("first"), F.col("r.run").alias("second"))
+        sides = pairs.select("root", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("run"))
+        told = own.join(runs, ["__k1", "__k2"]).select("root", "run", "node", "text").join(sides, ["root", "run"])
+        edges = edges.unionByName(told.groupBy("root", "first", "second").applyInPandas(between, "a long, b long"))
+    reach = components(ws.table(edges.distinct(), "edges"))
     return signed.join(reach, "node", "left").select("__k1", "__k2", "doc_id", F.coalesce("root", "node").alias("__root"))
 
 

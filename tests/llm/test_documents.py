@@ -108,6 +108,34 @@ def test_similar_documents_go_and_others_stay(spark):
     assert kept == {*range(40), *range(120, 160)}
 
 
+@pytest.mark.parametrize("most", [4_000_000, 3000])
+def test_copies_with_one_contiguous_change_link_at_the_exact_similarity(spark, most):
+    rng = random.Random(11)
+    texts = []
+    for k in range(240):
+        w = words(rng, rng.randrange(60, 400))
+        n = len(w)
+        cut = rng.randrange(n // 20, n // 4)
+        at = rng.randrange(n - cut)
+        copy = ([*w, *words(rng, cut)], w[: n - cut], [*w[:at], *words(rng, cut // 2 + 1), *w[at + cut // 2 + 1 :]])[k % 3]
+        texts += [" ".join(w), " ".join(copy)]
+    # One component of candidates above the limit of 3000 shingles.
+    stem = words(rng, 100)
+    texts += [" ".join([*stem, *words(rng, 4 + k % 30)]) for k in range(60)]
+    docs = docs_of(spark, texts)
+    got = {r["doc_id"]: r["__root"] for r in simhash.similar_groups(docs, most=most).collect()}
+    reached = [jaccard(texts[2 * k], texts[2 * k + 1]) >= 0.8 for k in range(240)]
+    assert 60 < sum(reached) < 200
+    assert [got[2 * k] == got[2 * k + 1] for k in range(240)] == reached
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(texts[480 + i], texts[480 + j]) >= 0.8:
+                root = [root[j] if r == root[i] else r for r in root]
+    assert 1 < len(set(root)) < 60
+    assert len({(a, got[480 + k]) for k, a in enumerate(root)}) == len(set(root)) == len({got[480 + k] for k in range(60)})
+
+
 def test_deduplication_keeps_all_columns_of_one_row(spark):
     df = odd_docs(spark)
     got = simhash.deduplicated(df)
