@@ -3,7 +3,7 @@
 A seed is a fixed mask over a run of tokens: some places count, the others are ignored, so a hash of the
 counting places survives substitutions at the rest. Masked hashes of benchmark items are joined with
 those of documents; around each hit the two texts are compared token by token without shifts, and
-the best overlap decides.
+any run that reaches the limits counts.
 
 The benchmark is taken in blocks of a bounded number of tokens. A block's hashes are sent to all workers,
 documents stream past them, and no document moves between tasks. A larger benchmark is more blocks.
@@ -98,6 +98,27 @@ def best_overlap(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int, in
     return low + start, end - start, int(same[start:end].sum())
 
 
+def qualifying_overlap(a: np.ndarray, b: np.ndarray, shift: int, least: int, identity: float) -> tuple[int, int, int] | None:
+    """(start in a, span, agreeing) of a run of a against b[shift:] that spans ``least`` and agrees in ``identity`` of it: that of ``best_overlap`` if it does, otherwise the longest, the first of several; None if no run does."""
+    start, length, agree = best_overlap(a, b, shift)
+    if length >= least and agree >= identity * length:
+        return start, length, agree
+    low, high = max(0, -shift), min(len(a), len(b) - shift)
+    if high - low < max(1, least):
+        return None
+    same = a[low:high] == b[low + shift : high + shift]
+    # A run agrees enough if this sum doesn't fall over it. The margin is for sums of fractions.
+    sums = np.concatenate([[0.0], np.cumsum(same - identity)])
+    lowest = np.minimum.accumulate(sums)
+    begin = np.searchsorted(-lowest, -(sums + 1e-9), "left")
+    spans = np.arange(len(sums)) - begin
+    end = int(np.argmax(spans))
+    if spans[end] < max(1, least):
+        return None
+    first = int(begin[end])
+    return low + first, end - first, int(same[first:end].sum())
+
+
 def _turns(entries: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """(from, to) of runs of places with ``most`` entries or fewer together, or of one place, whose entries the block bounds."""
     ends, at = np.cumsum(entries), 0
@@ -123,8 +144,9 @@ def overlaps(block: Seeds, texts: list[str | None], span: int = SPAN, identity:
     def compare() -> None:
         for text, k, shift in hits:
             sequence = block.sequences[k]
-            start, length, agree = best_overlap(sequence, own[text], shift)
-            if length >= min(span, len(sequence)) and agree >= identity * length:
+            found = qualifying_overlap(sequence, own[text], shift, min(span, len(sequence)), identity)
+            if found:
+                start, length, agree = found
                 best[text, k] = max(best.get((text, k), (0, 0, 0)), (agree, length, -(start + shift)))
         hits.clear()
 

@@ -448,3 +448,30 @@ def test_masks_ignore_their_gaps():
         b[[k for k, c in enumerate(mask) if c == "0"]] = 5
         assert decontamination.masked(b, mask)[0] == decontamination.masked(a[: len(mask)], mask)[0]
         assert mask.count("1") == 8
+def test_any_run_that_reaches_the_limits_counts():
+    rng = np.random.default_rng(6)
+    for n in (13, 14, 15, 20, 40):
+        for _ in range(300):
+            item = np.arange(1, n + 1)
+            copy = np.where(rng.random(n) < rng.choice([0.1, 0.25, 0.5]), 0, item)
+            before = int(rng.integers(0, 5))
+            text = np.concatenate([np.zeros(before, np.int64), copy, np.zeros(3, np.int64)])[int(rng.integers(0, 3)) :]
+            shift = before - (before + n + 3 - len(text))
+            low, high = max(0, -shift), min(n, len(text) - shift)
+            same = [item[i] == text[i + shift] for i in range(low, high)]
+            wanted = any(4 * sum(same[i:j]) >= 3 * (j - i) for i in range(len(same)) for j in range(i + 13, len(same) + 1))
+            got = decontamination.qualifying_overlap(item, text, shift, 13, 0.75)
+            assert (got is not None) == wanted
+            if got:
+                assert got[1] >= 13 and 4 * got[2] >= 3 * got[1] and got[2] == sum(same[got[0] - low : got[0] - low + got[1]])
+
+
+def test_a_substitution_near_an_end_does_not_hide_an_item():
+    rng = random.Random(8)
+    item = words(rng, 15)
+    block = decontamination.seeds([(7, item)])
+    for at in range(15):
+        copy = [*words(rng, 9), *item[:at], "replaced", *item[at + 1 :], *words(rng, 9)]
+        assert [(t, k) for t, k, *_ in decontamination.overlaps(block, [" ".join(copy)])] == [(0, 0)], at
+
+
