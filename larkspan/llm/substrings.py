@@ -102,11 +102,12 @@ class Block:
         self.window_doc = np.repeat(np.arange(len(self.words)), per_doc)
         first = np.cumsum(per_doc) - per_doc
         self.window_at = np.arange(len(self.window_doc)) - first[self.window_doc] + self.starts[self.window_doc]
-        out = np.zeros((2, max(0, total - window + 1)), np.uint64)
+        n = max(0, total - window + 1)
+        out = np.zeros((2, n), np.uint64)
         for side, base in enumerate(_BASE):
             factor = np.uint64(1)
             for k in range(window):
-                out[side] += hashes[k : total - window + 1 + k, side] * factor
+                out[side] += hashes[k : k + n, side] * factor
                 factor = np.uint64(int(factor) * int(base) & 0xFFFFFFFFFFFFFFFF)
         self.high, self.low = _mix(out[0][self.window_at], 1), _mix(out[1][self.window_at], 2)
 

@@ -282,6 +282,14 @@ def test_removal_of_nothing(spark):
     assert sorted(map(tuple, substrings.removed_windows(short).collect())) == [(1, 2, 0, "a b"), (2, 0, 0, "")]
 
 
+@pytest.mark.parametrize("total", range(15))
+def test_blocks_of_few_words(spark, total):
+    own = [f"w{k}" for k in range(total)]
+    blob = substrings.pack_blocks(spark.createDataFrame([(1, " ".join(own))], "doc_id long, text string"), 13).first()["blob"]
+    block = substrings.Block(blob, 13)
+    assert len(block.high) == len(block.low) == max(0, total - 12) and block.counts.tolist() == [total]
+
+
 # Tokens.
 
 FILE = "byte_bpe_50k.json"
