@@ -32,7 +32,6 @@ PER_LANGUAGE = 4000
 NONE = "und"
 #: Neighbouring trigrams share letters, so a text of n trigrams counts as n / OVERLAP independent ones.
 OVERLAP = 3.0
-MOST_LANGUAGES = 5
 
 _letters: list[np.ndarray] = []
 
@@ -137,7 +136,7 @@ def infer(model: Model, text: str | None) -> list[tuple[str, float]]:
         probs = np.exp(np.clip(logs - logs[:, [best]], -40, 40))
         total, have = counts.sum(), 0.0
         penalty = 0.5 * np.log(max(2.0, total / OVERLAP)) + 1.0
-        while len(chosen) < min(MOST_LANGUAGES, len(model.names)):
+        while len(chosen) < len(model.names):
             # The likelihood is concave in the shares, so its slope towards a language bounds what that can gain.
             slope = probs.T @ (counts / (probs[:, chosen] @ pi)) - total
             slope[chosen] = -np.inf

@@ -384,6 +384,17 @@ def test_languages_of_odd_rows(spark):
     assert languages.identify(no_docs(spark)).count() == 0 and languages.recognised(no_docs(spark)).count() == 0
 
 
+def test_more_than_five_languages_in_a_text():
+    rng = random.Random(2)
+    names = [f"l{k}" for k in range(8)]
+    texts = {n: " ".join("".join(rng.choices([a + b for a in "abcdefghijklmnopqrstuvwxyz"[3 * k : 3 * k + 3] for b in "aeiou"], k=3)) for _ in range(300)) for k, n in enumerate(names)}
+    counts = np.array([np.bincount(languages.trigrams(texts[n]), minlength=languages.BUCKETS) for n in names]).T
+    own = counts / counts.sum(axis=0)
+    model = languages.Model(names, np.log(0.95 * own + 0.045 * own.mean(axis=1, keepdims=True) + 0.005 / languages.BUCKETS))
+    found = languages.infer(model, " ".join(texts[n][:900] for n in names[:7]))
+    assert {n for n, _ in found} == set(names[:7]) and all(0.1 < p < 0.2 for _, p in found)
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "some text", None, None, 0)], SCHEMA)
     assert [tuple(r)[2:4] for r in languages.identify(df).collect()] == [(languages.NONE, 0.0)]
