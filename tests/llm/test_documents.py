@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -489,8 +490,68 @@ def test_a_substitution_near_an_end_does_not_hide_an_item():
 def test_masks_ignore_their_gaps():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 14, dtype=np.uint64)
-    for mask in decontamination.MASKS:
+    for mask in decontamination.MASKS + decontamination.SHORT_MASKS:
         b = a[: len(mask)].copy()
         b[[k for k, c in enumerate(mask) if c == "0"]] = 5
         assert decontamination.masked(b, mask)[0] == decontamination.masked(a[: len(mask)], mask)[0]
-        assert mask.count("1") == 8
+        assert mask.count("1") == (6 if mask in decontamination.MASKS else 3)
+
+
+@pytest.mark.parametrize("length", range(4, 26))
+def test_masks_meet_every_placement_of_differences(length):
+    """Runs of 13 to 25 tokens, and whole items of 4 to 12: each with as many differences as the limits allow."""
+    masks = decontamination.MASKS if length >= decontamination.SPAN else decontamination.SHORT_MASKS
+    differences = length - -(-3 * length // 4)
+    placed = np.array([sum(1 << k for k in c) for c in itertools.combinations(range(length), differences)], np.int64)
+    for mask in masks:
+        own = sum(1 << k for k, c in enumerate(mask) if c == "1")
+        for shift in range(length - len(mask) + 1):
+            placed = placed[(placed & (own << shift)) != 0]
+    assert not len(placed)
+
+
+@pytest.mark.parametrize("length", [6, 9, 13, 16, 40])
+def test_every_placement_is_found_by_brute_force(length):
+    rng = random.Random(length)
+    item = [f"w{k}" for k in range(length)]
+    block = decontamination.seeds([(7, item)])
+    least = min(13, length)
+    every = list(itertools.combinations(range(least), least - -(-3 * least // 4)))
+    for start in {0, length - least}:
+        texts = []
+        for places in every:
+            copy = list(item[start : start + least])
+            for k in places:
+                copy[k] = "other"
+            texts.append(" ".join(["before"] * rng.randrange(3) + copy + ["after"] * rng.randrange(3)))
+        assert {t for t, *_ in decontamination.overlaps(block, texts)} == set(range(len(texts)))
+    # And what stays below the limits isn't.
+    far = [" ".join("other" if k in places else w for k, w in enumerate(item[:least])) for places in itertools.islice(itertools.combinations(range(least), least // 4 + 1), 200)]
+    assert decontamination.overlaps(block, far) == []
+
+
+def test_contaminations_equal_brute_force(spark):
+    """All pairs of texts, items and shifts, all runs."""
+    rng = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(25)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (1, 2, 3, 5, 8, 12, 13, 17, 22, 30)]
+    texts = []
+    for _ in range(120):
+        own = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 20))]
+        copy = [w if rng.random() > rng.choice([0.0, 0.15, 0.25, 0.3]) else rng.choice(vocabulary) for w in rng.choice(items)]
+        texts.append(own[:9] + copy[rng.randrange(3) :] + own[9:])
+    wanted = set()
+    for t, text in enumerate(texts):
+        for i, item in enumerate(items):
+            least = min(13, len(item))
+            for shift in range(-len(item) + 1, len(text)):
+                same = [item[k] == text[k + shift] for k in range(max(0, -shift), min(len(item), len(text) - shift))]
+                if any(4 * sum(same[a:b]) >= 3 * (b - a) for a in range(len(same)) for b in range(a + least, len(same) + 1)):
+                    wanted.add((t, i))
+    docs = docs_of(spark, [" ".join(t) for t in texts])
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], BENCH)
+    for block in (40, 10_000):
+        got = decontamination.contaminations(docs, bench, block_tokens=block).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == wanted and len(got) == len(wanted)
+        clean = {r["doc_id"] for r in decontamination.decontaminated(docs, bench, block_tokens=block).collect()}
+        assert clean == set(range(len(texts))) - {t for t, _ in wanted}
