@@ -5,8 +5,10 @@ From each record the converter synthesises what WARC asks for: a record id, an I
 block and payload digests. Records with equal payloads become revisits of one response.
 
 WARC files are written by Spark's own text sink, so that any store that Spark can write will do and a
-lost task leaves nothing behind: one row is one record and the line separator is the blank line that ends
-a record. Files are compressed whole. They are read as binary files, unpacked as a stream.
+lost task leaves nothing behind. One row is one file: gzip members, one for each record, up to a bounded number of
+bytes. The sink ends each row with a separator, which here is the zero byte that ends the last member (the
+high byte of a member's length below 16 MB; after longer ones an empty member follows). The driver then gives files
+their ``.warc.gz`` names. They are read as binary files, unpacked as a stream.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from dataclasses import dataclass, field
 from urllib.parse import quote
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +41,14 @@ ARC_TITLES = {
     2: b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD_END = "\r\n\r\n"
+RECORD_END = b"\r\n\r\n"
+_EMPTY_MEMBER = gzip.compress(b"", 6, mtime=0)
 #: Payloads below this size are kept even if another record has the same.
 LEAST_REVISIT = 100
 #: Bytes of records in an ARC made of pages; a longer page has an archive of its own.
 ARC_BYTES = 2 << 20
+#: Bytes of a WARC file; a longer record has a file of its own.
+FILE_BYTES = 64 << 20
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _EPOCH = datetime.datetime(2000, 1, 1, tzinfo=datetime.UTC)
 
@@ -68,8 +74,9 @@ class ArcRecord:
 
     @property
     def identifier(self) -> str:
-        """The same for the same place, address and date in each run."""
-        return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, '|'.join([self.archive, str(self.offset), self.fields.get('url', ''), self.fields.get('date', '')]))}>"
+        """The same for the same place, address, date and body in each run. Archives of one name can therefore share an id only for one and the same record."""
+        body = hashlib.sha1(self.body).hexdigest()
+        return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, '|'.join([self.archive, str(self.offset), self.fields.get('url', ''), self.fields.get('date', ''), body]))}>"
 
     def http(self) -> tuple[bytes, bytes] | None:
         """Head and payload of an HTTP response, else None."""
@@ -258,18 +265,21 @@ def _page_record(page_id: int | None, url: str | None, html: str | None) -> tupl
 def pages_as_arc(pages: DataFrame, arc_bytes: int = ARC_BYTES) -> DataFrame:
     """``archive, content``: ARC files of ``pages(page_id, url, html)``, versions 1 and 2 in turn, for conversion.
 
-    Null html is an empty payload, a null address ``urn:page:`` with the id; the id is kept as a header.
+    Null html is an empty payload, a null address ``urn:page:`` with the id; the id is kept as a header. Archives are
+    named by partition and place in it: the result is meant to be written before it is read more than once.
     """
     ship(pages.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, version = [], 0, 1
+        held, size, count = [], 0, 0
+        partition = TaskContext.get().partitionId()
 
         def flush() -> pd.DataFrame:
-            nonlocal held, size, version
-            name = f"pages-{uuid.uuid5(_NAMESPACE, repr([(r[0], r[2], len(r[4])) for r in held]))}.arc"
-            out = pd.DataFrame({"archive": [name], "content": [write_arc(name, version, held)]})
-            held, size, version = [], 0, 3 - version
+            nonlocal held, size, count
+            # No two archives of a table have one name.
+            name = f"pages-{partition:06d}-{count:06d}.arc"
+            out = pd.DataFrame({"archive": [name], "content": [write_arc(name, 1 + count % 2, held)]})
+            held, size, count = [], 0, count + 1
             return out
 
         for part in parts:
@@ -313,8 +323,19 @@ def parsed(archives: DataFrame, bodies: bool) -> DataFrame:
     return archives.mapInPandas(run, _FIELDS + (", body binary" if bodies else ""))
 
 
-def convert(archives: DataFrame, folder: str, least: int = LEAST_REVISIT, records_per_file: int = 10_000) -> None:
-    """Write the records of ``archives(archive, content)`` to WARC files in ``folder``.
+def _named(spark: SparkSession, folder: str) -> None:
+    """Give the sink's files the ending of WARC files. Only names are touched; files come by size, not by record."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    top = path(folder)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(top):
+        old = status.getPath()
+        if old.getName().startswith("part-") and old.getName().endswith(".txt") and not fs.rename(old, path(top, old.getName()[:-4] + ".warc.gz")):
+            raise OSError(f"{old} can't be renamed")
+
+
+def convert(archives: DataFrame, folder: str, least: int = LEAST_REVISIT, file_bytes: int = FILE_BYTES) -> None:
+    """Write the records of ``archives(archive, content)`` to WARC files of about ``file_bytes`` in ``folder``, one gzip member a record.
 
     Of records with equal payloads of ``least`` bytes or more, the one with the smallest page id (then
     address, date and record id; null id last) is the response; the others revisit it, but for
@@ -330,15 +351,29 @@ def convert(archives: DataFrame, folder: str, least: int = LEAST_REVISIT, record
     records = parsed(archives, bodies=True).join(lookup(revisits), F.col("record_id") == F.col("__id"), "left")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = bytearray()
+
+        def flush() -> pd.DataFrame:
+            # The sink's separator is the last byte.
+            held.extend(b"" if held[-1] == 0 else _EMPTY_MEMBER)
+            out = pd.DataFrame({"file": [bytes(held[:-1])]})
+            held.clear()
+            return out
+
         for part in parts:
-            out = []
             for name, offset, fields, body, first_id, first_url, first_date in zip(*(part[c] for c in ("archive", "offset", "fields", "body", "first_id", "first_url", "first_date")), strict=True):
-                out.append(to_warc(ArcRecord(name, offset, dict(fields), body), (first_id, first_url, first_date) if first_id else None))
-            yield pd.DataFrame({"record": out})
+                record = to_warc(ArcRecord(name, offset, dict(fields), body), (first_id, first_url, first_date) if first_id else None)
+                member = gzip.compress(record + RECORD_END, 6, mtime=0)
+                if held and len(held) + len(member) > file_bytes:
+                    yield flush()
+                held.extend(member)
+        if held:
+            yield flush()
 
     chosen = records.select("archive", "offset", "fields", "body", *[F.col(f"first.{a}").alias(b) for a, b in (("record_id", "first_id"), ("url", "first_url"), ("date", "first_date"))])
-    written = chosen.mapInPandas(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    written.write.mode("overwrite").option("compression", "gzip").option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file).text(folder)
+    written = chosen.mapInPandas(run, "file binary").select(F.col("file").cast("string").alias("value"))
+    written.write.mode("overwrite").option("compression", "none").option("lineSep", "\0").option("maxRecordsPerFile", 1).text(folder)
+    _named(archives.sparkSession, folder)
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -356,7 +391,7 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
                     rows.append((h["warc-record-id"], kind, h.get("warc-target-uri"), h["warc-date"], None if page is None else int(page), size, h["warc-payload-digest"].removeprefix("sha256:"), h.get("warc-refers-to")))
                 yield pd.DataFrame(rows, columns=["record_id", "record_type", "url", "date", "page_id", "payload_bytes", "payload_digest", "refers_to_id"]).astype({"page_id": "Int64"})
 
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.txt.gz").load(folder)
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.warc.gz").load(folder)
     return files.select("path", "content").mapInPandas(run, "record_id string, record_type string, url string, date string, page_id long, payload_bytes long, payload_digest string, refers_to_id string")
 
 

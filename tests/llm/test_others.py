@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -78,6 +79,37 @@ def test_pages(spark):
     assert warc.pages_through_warc(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_repeated_ids_with_other_bodies_of_one_length(spark):
+    """Two partitions whose records agree in all but their bodies: no body may be taken for another's."""
+    a, b = "a" * 120, "b" * 120
+    df = spark.sparkContext.parallelize([(0, "x", a), (1, "u", a), (1, "u", b)], 3).toDF(PAGES)
+    got = Counter((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.pages_through_warc(df).collect())
+    da, db = (hashlib.sha256(x.encode()).hexdigest() for x in (a, b))
+    assert got == Counter([(0, da, "response", None), (1, da, "revisit", 0), (1, db, "response", None)])
+
+
+def test_files_have_a_member_a_record_and_end_by_bytes(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(k, f"http://h/{k}", "".join(rng.choices("abcdef <>", k=rng.randrange(4000)))) for k in range(300)] + [(300, "http://h/long", rng.randbytes(9_000_000).hex())]
+    arcs = warc.pages_as_arc(spark.createDataFrame(rows, PAGES).coalesce(2), 50_000)
+    for size in (40_000, 1 << 30):
+        folder = f"{tmp_path}/{size}"
+        warc.convert(arcs, folder, file_bytes=size)
+        found, files = set(), sorted(p for p in (tmp_path / str(size)).iterdir() if p.name.endswith(".warc.gz"))
+        for p in files:
+            rest = p.read_bytes()
+            records = list(warc.read_warc(p.name, rest))
+            assert len(rest) <= size or len(records) == 1
+            members = []
+            while rest:
+                one = zlib.decompressobj(31)
+                members.append(one.decompress(rest))
+                rest = one.unused_data
+            assert len([m for m in members if m]) == len(records) and all(m.startswith(b"WARC/1.1\r\n") for m in members if m)
+            found |= {int(r.http_headers["x-page-id"]) for r in records}
+        assert found == set(range(301)) and (len(files) > 5) == (size == 40_000)
+
+
 # Secrets.
 
 
