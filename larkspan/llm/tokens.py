@@ -6,9 +6,14 @@ A byte-level BPE tokenizer (a ``tokenizers`` JSON file) is compiled into two det
   states. A text is cut into chunks; each chunk is run from every state at once, which gives a map
   from its first to its last state; maps are composed by a parallel prefix scan, which gives each chunk its
   true first state and thereby its marks. Chunks of all texts of a batch run side by side.
-* The *token* transducer reads the bytes of a piece. Its states are prefixes of pieces, its transitions carry
-  the change in the number of tokens that the merges emit for the prefix; a piece's count is the sum
-  along its path. States are built as texts need them and sums are kept per piece.
+* The *token* transducer reads the bytes of a piece. A merge list splits a string into tokens of which each neighbouring
+  pair stays as it is when merged alone, and no other split has that property. So the last token of a prefix
+  follows from the last tokens of shorter prefixes: it is the token that ends there and goes with the last
+  token of what is before it. A state holds what that needs and no more: the longest end of the prefix that begins
+  some token, and for each place in it the last token there and the number of tokens since. Token lengths are
+  bounded, so states are finite in number. A transition's output is the change in the number of tokens; a piece's
+  count is the sum along its path. States and transitions are compiled when a text first needs them, by the rule above,
+  not by merging texts; merging serves to decide which pairs of tokens stay as they are.
 
 Counts equal the library's, without begin, end or added special tokens; strings of special tokens inside
 texts are single tokens, the library's default. Nothing is truncated.
@@ -16,7 +21,7 @@ texts are single tokens, the library's default. Nothing is truncated.
 
 from __future__ import annotations
 
-import heapq
+import gc
 import json
 import sys
 import unicodedata
@@ -39,9 +44,11 @@ CLASSES = _FIRST_LETTER + len(CONTRACTION)
 CHUNK = 256
 #: Characters of texts that are worked on at a time.
 BATCH = 1 << 20
-#: Pieces and states that a worker keeps, at most.
-KEPT = 1_000_000
+#: Bytes of pieces, states and transitions that a worker keeps, about; beyond, it begins anew.
+KEPT_BYTES = 256 << 20
+#: Longer pieces aren't kept.
 _LONG = 64
+_NEVER = (1 << 62, -1)
 
 
 def _classes() -> np.ndarray:
@@ -175,24 +182,71 @@ def _byte_letters() -> dict[str, int]:
 
 
 class TokenTransducer:
-    """Counts of tokens over the bytes of a piece."""
+    """Counts of tokens over the bytes of a piece, by a deterministic transducer whose states are compiled on demand."""
 
     def __init__(self, merges: list[list[str]]) -> None:
         letters = _byte_letters()
         names: dict[str, int] = dict(letters)
         #: (left, right) -> rank and result of a merge; a number below 256 is a byte.
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: The rank and the halves that a token is merged by and from.
+        self.made: dict[int, tuple[int, tuple[int, int]]] = {}
+        self.borders: tuple[dict[int, tuple[tuple[int, int], ...]], ...] = ({}, {})
+        spelled: dict[int, bytes] = {b: bytes([b]) for b in range(256)}
         for rank, (left, right) in enumerate(merges):
             made = names.setdefault(left + right, 256 + rank)
             self.merges.setdefault((names[left], names[right]), (rank, made))
-        self.steps: dict[bytes, int] = {}
+            if self.made.setdefault(made, (rank, (names[left], names[right])))[0] != rank:
+                raise ValueError("a token that is merged in two ways can't be compiled")
+            spelled.setdefault(made, spelled[names[left]] + spelled[names[right]])
+        self.spelled = spelled
+        self._automaton()
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.sums: dict[bytes, int] = {}
-
-    def emitted(self, piece: bytes) -> int:
-        """Tokens that the merges, lowest rank first, leave of a piece."""
-        if len(piece) > _LONG:
-            return self._emitted_long(piece)
-        parts, merges = list(piece), self.merges
+        self._restart()
+
+    def _automaton(self) -> None:
+        """The tokens' prefixes as nodes: children by byte, the longest proper end that is a node too, depth, and the tokens that end at a node, longest first."""
+        self.child: list[dict[int, int]] = [{}]
+        self.depth, self.fall = [0], [0]
+        token: list[int] = [-1]
+        for made, spelling in self.spelled.items():
+            # A token that its own spelling isn't merged into never stands in a text.
+            if len(spelling) > 1 and self.merged(spelling) != [made]:
+                continue
+            node = 0
+            for byte in spelling:
+                to = self.child[node].get(byte)
+                if to is None:
+                    to = self.child[node][byte] = len(self.child)
+                    self.child.append({})
+                    self.depth.append(self.depth[node] + 1)
+                    self.fall.append(0)
+                    token.append(-1)
+                node = to
+            token[node] = made
+        #: (token, length) by node: its own and those of its ends.
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.child)
+        level = [0]
+        while level:
+            for node in level:
+                if node:
+                    own = ((token[node], self.depth[node]),) if token[node] >= 0 else ()
+                    self.ends[node] = own + self.ends[self.fall[node]]
+                for byte, to in self.child[node].items():
+                    self.fall[to] = self._go(self.fall[node], byte) if node else 0
+            level = [to for node in level for to in self.child[node].values()]
+
+    def _go(self, node: int, byte: int) -> int:
+        while True:
+            to = self.child[node].get(byte)
+            if to is not None or not node:
+                return to or 0
+            node = self.fall[node]
+
+    def merged(self, spelling: bytes) -> list[int]:
+        """What the merges, lowest rank first, leave of a short string. Used to compile, not to count."""
+        parts, merges = list(spelling), self.merges
         while len(parts) > 1:
             best = min(((merges[p], k) for k, p in enumerate(zip(parts, parts[1:], strict=False)) if p in merges), default=None)
             if best is None:
@@ -208,44 +262,103 @@ class TokenTransducer:
                     out.append(parts[k])
                     k += 1
             parts = out
-        return len(parts)
-
-    def _emitted_long(self, piece: bytes) -> int:
-        """The same with a heap of merges, in n log n for pieces of any length."""
-        size = len(piece)
-        value, after, before = list(piece), list(range(1, size + 1)), list(range(-1, size - 1))
-        heap = [(*found, k, value[k], value[k + 1]) for k in range(size - 1) if (found := self.merges.get((value[k], value[k + 1])))]
-        heap = [(rank, k, made, a, b) for rank, made, k, a, b in heap]
-        heapq.heapify(heap)
-        left = size
-        while heap:
-            _, k, made, a, b = heapq.heappop(heap)
-            n = after[k]
-            if value[k] != a or n >= size or value[n] != b:
-                continue
-            value[k], value[n], after[k], left = made, -1, after[n], left - 1
-            if after[k] < size:
-                before[after[k]] = k
-            for x, y in ((before[k], k), (k, after[k])):
-                if x >= 0 and y < size and (found := self.merges.get((value[x], value[y]))):
-                    heapq.heappush(heap, (found[0], x, found[1], value[x], value[y]))
-        return left
-
-    def step(self, prefix: bytes) -> int:
-        """What the transition into the state ``prefix`` adds to the count."""
-        found = self.steps.get(prefix)
+        return parts
+
+    def stays(self, left: int, right: int) -> bool:
+        """Whether two tokens side by side are what the merges make of their common string.
+
+        Each token grows at its side of the border by merges of its own, in the order of their ranks. If the symbols at
+        the border can merge before either of them goes into a larger one, that happens instead.
+        """
+        found = self.pairs.get((left, right))
         if found is None:
-            found = self.steps[prefix] = self.emitted(prefix) - (self.emitted(prefix[:-1]) if len(prefix) > 1 else 0)
+            a, b, i, j = self._border(left, 1), self._border(right, 0), 0, 0
+            while True:
+                (x, goes), (y, comes) = a[i], b[j]
+                rank = self.merges.get((x, y), _NEVER)[0]
+                # Of equal merges the leftmost comes first: that within the left token before this one, this one before that within the right.
+                if rank < goes and rank <= comes and rank < _NEVER[0]:
+                    found = False
+                    break
+                if goes == comes == _NEVER[0]:
+                    found = True
+                    break
+                if goes < comes:
+                    i += 1
+                else:
+                    j += 1
+            self.pairs[left, right] = found
         return found
 
+    def _border(self, token: int, side: int) -> tuple[tuple[int, int], ...]:
+        """The symbols at a side of a token from its byte to the whole, each with the rank of the merge that takes it in."""
+        found = self.borders[side].get(token)
+        if found is None:
+            made = self.made.get(token)
+            if made is None:
+                found = ((token, _NEVER[0]),)
+            else:
+                rank, halves = made
+                inner = self._border(halves[side], side)
+                found = (*inner[:-1], (inner[-1][0], rank), (token, _NEVER[0]))
+            self.borders[side][token] = found
+        return found
+
+    def _restart(self) -> None:
+        """Only the first state: an empty prefix."""
+        #: state << 8 | byte -> next state << 16 | change of the count + 2 ** 15.
+        self.steps: dict[int, int] = {}
+        #: A state's node and, from the place of the node's depth back up to the prefix's end, (last token, count there less the count at the end).
+        self.known: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ((-1, 0),))]
+        self.numbers = {self.known[0]: 0}
+        self.held = 0
+
+    def compile_step(self, state: int, byte: int) -> int:
+        """The transition out of a state by a byte. The last token of the longer prefix is the one that ends there and goes with the last token before it."""
+        node, tail = self.known[state]
+        node = self._go(node, byte)
+        # tail[-1] is the end of the prefix, tail[-1 - k] is k bytes earlier.
+        for token, length in self.ends[node]:
+            last, count = tail[-length]
+            if last < 0 or self.stays(last, token):
+                break
+        else:
+            raise AssertionError("a single byte always goes with something before it")
+        change = count + 1
+        moved = tuple([(t, c - change) for t, c in tail[len(tail) - self.depth[node] :]] + [(token, 0)])
+        known = (node, moved)
+        to = self.numbers.get(known)
+        if to is None:
+            to = self.numbers[known] = len(self.known)
+            self.known.append(known)
+            self.held += 200 + 80 * len(moved)
+        self.held += 150
+        found = self.steps[state << 8 | byte] = to << 16 | change + (1 << 15)
+        return found
+
+    def run(self, piece: bytes) -> int:
+        """The sum of the outputs along a piece's path."""
+        steps, state, total = self.steps.get, 0, -(len(piece) << 15)
+        for byte in piece:
+            found = steps(state << 8 | byte)
+            if found is None:
+                found = self.compile_step(state, byte)
+            state = found >> 16
+            total += found & 0xFFFF
+        return total
+
     def count(self, piece: bytes) -> int:
-        """The sum along a piece's path, which is what the merges leave of it."""
+        """``run``, kept for whole pieces, as pieces recur."""
         found = self.sums.get(piece)
         if found is None:
-            if len(self.sums) >= KEPT:
+            if self.held + 150 * len(self.pairs) > KEPT_BYTES:
                 self.sums.clear()
-            # The path's sum telescopes to its last state's total, so states on the way need not be built.
-            found = self.sums[piece] = self.emitted(piece)
+                self.pairs.clear()
+                self._restart()
+            found = self.run(piece)
+            if len(piece) <= _LONG:
+                self.sums[piece] = found
+                self.held += 150 + len(piece)
         return found
 
 
@@ -322,6 +435,8 @@ def compiled(text: str) -> Tokenizer:
     if text not in _loaded:
         _loaded.clear()
         _loaded[text] = Tokenizer(text)
+        # The tables live as long as the worker: the garbage collector needn't go through them.
+        gc.freeze()
     return _loaded[text]
 
 

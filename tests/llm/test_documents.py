@@ -333,10 +333,46 @@ def test_scan_composes_maps():
     assert tokens.scan(maps).tolist() == wanted
 
 
-def test_steps_sum_to_the_count(library):
-    compiled = tokens.Tokenizer(open(library[0]).read())
-    for piece in (b" tokenization", b"aaaaaaaa", "日本語".encode(), b"x" * 200):
-        assert sum(compiled.tokens.step(piece[: k + 1]) for k in range(len(piece))) == compiled.tokens.count(piece)
+PIECES = [" tokenization", "aaaaaaaa", "日本語", "x" * 200, " unbelievably", "=" * 33, "ababab", " " * 150, "étranger", "qzjxkvw"]
+
+
+def test_outputs_along_a_path_sum_to_the_count(library):
+    path, own = library
+    run = tokens.Tokenizer(open(path).read()).tokens
+    for piece in PIECES:
+        raw, state, total = piece.encode(), 0, 0
+        for k, byte in enumerate(raw):
+            step = run.compile_step(state, byte)
+            state, total = step >> 16, total + (step & 0xFFFF) - (1 << 15)
+            # After each transition the sum is the count of the prefix.
+            assert total == len(run.merged(raw[: k + 1]))
+        assert total == run.run(raw) == run.count(raw) == len(own.encode(piece, add_special_tokens=False).ids)
+
+
+def test_the_query_counts_by_transitions(library, monkeypatch):
+    path, own = library
+    compiled = tokens.Tokenizer(open(path).read())
+    monkeypatch.setattr(tokens.TokenTransducer, "merged", None)
+    before = len(compiled.tokens.steps)
+    assert compiled.counts([" ".join(PIECES)]) == [len(own.encode(" ".join(PIECES), add_special_tokens=False).ids)]
+    assert before == 0 and len(compiled.tokens.steps) >= sum(len(set(p)) > 1 for p in PIECES)
+
+
+def test_pairs_that_stay_are_those_that_merging_leaves(library):
+    run = tokens.Tokenizer(open(library[0]).read()).tokens
+    rng = random.Random(3)
+    every = [t for t, s in run.spelled.items() if len(s) == 1 or run.merged(s) == [t]]
+    same = [t for t in every if len(set(run.spelled[t])) == 1][:100]
+    for left, right in [(rng.choice(every), rng.choice(every)) for _ in range(20_000)] + list(itertools.product(same, same)):
+        assert run.stays(left, right) == (run.merged(run.spelled[left] + run.spelled[right]) == [left, right])
+
+
+def test_counts_stay_when_states_are_dropped(library, monkeypatch):
+    path, own = library
+    compiled = tokens.Tokenizer(open(path).read())
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 20_000)
+    texts = corpus(random.Random(5), 200)
+    assert compiled.counts(texts) == [len(e.ids) for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
 # Languages.
