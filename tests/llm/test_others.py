@@ -204,24 +204,76 @@ def test_search(spark):
 
 
 def test_small_parts_and_groups_give_the_same(spark, monkeypatch):
+    """Parts change how early a query stops, so what all of them find is a superset of the whole's reach: with all boxes in reach, they agree."""
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([(k, rng.normal(size=8).astype(np.float32).tolist(), 0) for k in range(400)], VECTORS)
+    monkeypatch.setattr(neighbours, "_factor", lambda *_: 1e6)
     whole = sorted(map(tuple, neighbours.search(df, 5, 10).collect()))
-    monkeypatch.setattr(neighbours, "PART_ROWS", 16)
     monkeypatch.setattr(neighbours, "GROUP_ROWS", 7)
+    monkeypatch.setattr(neighbours, "plan", lambda *_: (3, 2, 16))
     assert sorted(map(tuple, neighbours.search(df, 5, 10).collect())) == whole
 
 
 def test_queries_with_too_few_candidates_are_scanned(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(k, rng.normal(size=8).astype(np.float32).tolist()) for k in range(300)]
-    monkeypatch.setattr(neighbours, "_reach", lambda *_: 0.0)
+    monkeypatch.setattr(neighbours, "_factor", lambda *_: 0.0)
+    monkeypatch.setattr(neighbours, "plan", lambda *_: (12, 2, 1000))
     got = {}
     for r in neighbours.search(spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS), 10, 15).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got == {q: [i for i, _ in found] for q, found in slow_search(rows, 10, 15).items()}
 
 
+def test_probes_are_all_boxes_within_reach_in_order():
+    rng = np.random.default_rng(7)
+    p, start, limit = rng.normal(size=(9, 3)), rng.uniform(0, 1, 9), rng.uniform(0.5, 9, 9)
+    query, box, score = neighbours.probes(p, start, limit)
+    every = np.array(np.meshgrid(*[np.arange(-6, 7)] * 3)).reshape(3, -1).T
+    for k in range(9):
+        scores = start[k] + neighbours.box_score(np.repeat(p[k : k + 1], len(every), axis=0), every)
+        near = scores <= limit[k]
+        mine = query == k
+        assert set(box[mine].tolist()) == set(neighbours.packed(every[near]).tolist()) and (np.diff(score[mine]) >= 0).all()
+        if mine.any():
+            # The first is the query's own box.
+            assert box[mine][0] == neighbours.packed(neighbours.cells(p[k : k + 1]))[0] and score[mine][0] == start[k]
+
+
+def test_only_visited_buckets_are_fetched():
+    """In clustered vectors a query fetches few of them and finds its neighbours."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(100, 32))
+    x = np.concatenate([c + 0.05 * rng.normal(size=(60, 32)) for c in centres])
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    ids, norm = np.arange(len(x)), float(np.sqrt((x * x).sum(axis=1).max()))
+    hashes = neighbours.Hashes(32, norm, 6, 1)
+    region = neighbours.cells(hashes.vectors(x, 0))[:, 0]
+    fetched = every = met = asks = 0
+    for cell in np.unique(region):
+        buckets = neighbours.Buckets(hashes, 0, ids[region == cell], x[region == cell])
+        asked = np.flatnonzero(region == cell)[::50]
+        asks += len(asked)
+        for k, found, _ in buckets.search(ids[asked], x[asked], np.full(len(asked), 4.0), 6.0, 20):
+            exact = np.argsort(-(x[region == cell] @ x[asked[k]]), kind="stable")
+            met += len(set(found) & set(ids[region == cell][exact][:21].tolist()))
+        fetched, every = fetched + buckets.fetched, every + len(asked) * len(buckets.ids)
+    assert fetched < 0.3 * every and met > 0.8 * 20 * asks
+
+
+def test_vectors_of_every_length_are_searched(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.normal(size=n).astype(np.float32).tolist()) for n, low, high in ((3, 0, 50), (2, 100, 130), (7, 200, 204), (5, 220, 221)) for k in range(low, high)]
+    got = {}
+    for r in neighbours.search(spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for size in (2, 3, 7):
+        wanted = slow_search([(i, v) for i, v in rows if len(v) == size], 20, 20)
+        assert {q: len(f) for q, f in got.items() if q in wanted} == {q: len(f) for q, f in wanted.items()}
+        assert sum(len(set(got[q]) & {i for i, _ in f}) for q, f in wanted.items()) >= 0.9 * sum(map(len, wanted.values()))
+    assert set(got) == {0, 20, 40, 100, 120, 200}
+
+
 def test_odd_vectors(spark):
     good = [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (40, [0.0, 1.0])]
     bad = [(None, [1.0, 1.0]), (60, None), (4, [0.0, 0.0]), (5, [1.0, None]), (80, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0]), (8, []), (1, [1.0, 0.0])]
