@@ -6,25 +6,37 @@ members of a node share are factored into the node as a mask and a pattern, with
 parent holds already. A search goes from the top and adds up the differences to each node's pattern;
 a group whose sum exceeds the radius is left without looking at its members.
 
-The index of one group fits one task. Groups are the buckets of a pigeonhole split: two fingerprints
-that differ in at most r bits agree on one of r + 1 blocks of bits. Buckets above ``most`` rows are cut
-into runs of their Gray order, and pairs of runs are compared in tasks of their own.
+Differences in the leading bits prune most, as these are what neighbours in the order share. Therefore the order is
+taken several times with the bits rearranged: cut into blocks, two fingerprints that differ in at most r bits agree
+on all but r blocks, so in one arrangement they agree on the whole leading part. There a search may demand it: a
+difference in the leading part alone exceeds the radius.
+
+Each arrangement is range-partitioned by Gray rank into runs of a bounded number of rows, which are the index's
+upper nodes; a task indexes a run and searches it. Fingerprints with one leading part lie side by side, so a run
+has to be searched from another run only if that part goes on there; such pairs of runs are matched by their masks and
+patterns first.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.operators.prefix import prefix_sums
 from larkspan.tables import Workspace
 
 FAN = 16
-_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Rows of an upper node.
+RUN_ROWS = 8_192
+#: Fingerprints that share a leading part, on average, at most: more of them are cut into more blocks.
+SHARED = 1_024
+MOST_BLOCKS = 8
+_ALL = 0xFFFFFFFFFFFFFFFF
 
 
 def gray_rank(prints: np.ndarray) -> np.ndarray:
@@ -53,9 +65,12 @@ class GrayIndex:
             self.levels.append((mask & ~above, pattern & ~above))
         above = levels[0][0][np.arange(len(self.prints)) // FAN] if levels else np.zeros(len(self.prints), np.uint64)
         self.levels.append((~above, self.prints & ~above))
+        #: Nodes and members whose bits searches have compared.
+        self.compared = 0
 
-    def search(self, queries: np.ndarray, radius: int, block: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (index of query, index of input) within the radius, for a block of queries at a time."""
+    def search(self, queries: np.ndarray, radius: int, leading: int = 0, block: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (index of query, index of input) within the radius and without a difference in the ``leading`` bits, for a block of queries at a time."""
+        equal = np.uint64((_ALL << (64 - leading)) & _ALL)
         for at in range(0, len(queries), block):
             own = queries[at : at + block]
             size = len(self.levels[0][0])
@@ -63,33 +78,26 @@ class GrayIndex:
             sums = np.zeros(len(q), np.uint8)
             for depth, (mask, pattern) in enumerate(self.levels):
                 if depth:
-                    parents, child = len(q), (node[:, None] * FAN + np.arange(FAN)).ravel()
+                    child = (node[:, None] * FAN + np.arange(FAN)).ravel()
                     inside = child < len(mask)
                     q, sums, node = np.repeat(q, FAN)[inside], np.repeat(sums, FAN)[inside], child[inside]
-                    if not parents:
-                        break
-                sums = sums + np.bitwise_count((own[q] ^ pattern[node]) & mask[node])
-                near = sums <= radius
+                self.compared += len(q)
+                apart = (own[q] ^ pattern[node]) & mask[node]
+                sums = sums + np.bitwise_count(apart)
+                near = (sums <= radius) & ((apart & equal) == 0)
                 q, node, sums = q[near], node[near], sums[near]
             yield q + at, self.order[node]
 
 
-def groups_within(prints: np.ndarray, radius: int, wide: np.ndarray | None = None, far: int = 0) -> np.ndarray:
-    """For each fingerprint the smallest index that it reaches by links. With ``wide`` (n x words), a link also needs wide prints that differ in at most ``far`` bits."""
+def stars(prints: np.ndarray, radius: int, leading: int = 0, among: np.ndarray | None = None) -> np.ndarray:
+    """For each fingerprint the smallest index that it reaches by links, found through the index. With ``among``, only links between those marked and those not."""
     root = np.arange(len(prints))
-    if len(prints) < 2:
-        return root
-    if len(prints) <= 4 * FAN:
-        a, b = np.nonzero(np.triu(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= radius, 1))
-        found: Iterator[tuple[np.ndarray, np.ndarray]] = iter([(a, b)])
-    else:
-        found = GrayIndex(prints).search(prints, radius, block=max(64, min(2048, (1 << 22) // len(prints))))
+    indexed = root if among is None else np.flatnonzero(among)
+    asking = root if among is None else np.flatnonzero(~among)
+    # At most 2 ** 22 pairs at a time, however many copies there are.
+    found = GrayIndex(prints[indexed]).search(prints[asking], radius, leading, max(64, min(2048, (1 << 22) // max(1, len(indexed)))))
     for a, b in found:
-        keep = root[a] != root[b]
-        a, b = a[keep], b[keep]
-        if wide is not None and len(a):
-            keep = np.concatenate([np.bitwise_count(wide[a[i : i + 65536]] ^ wide[b[i : i + 65536]]).sum(axis=1, dtype=np.int64) <= far for i in range(0, len(a), 65536)])
-            a, b = a[keep], b[keep]
+        a, b = asking[a], indexed[b]
         while len(a):
             ra, rb = root[a], root[b]
             low, high = np.minimum(ra, rb), np.maximum(ra, rb)
@@ -101,75 +109,69 @@ def groups_within(prints: np.ndarray, radius: int, wide: np.ndarray | None = Non
     return root
 
 
-def _stars(part: pd.DataFrame, radius: int, far: int) -> pd.DataFrame:
-    wide = np.frombuffer(b"".join(part["wide"]), np.uint64).reshape(len(part), -1) if "wide" in part else None
-    root = groups_within(part["print"].to_numpy(np.int64).view(np.uint64), radius, wide, far)
-    nodes = part["node"].to_numpy(np.int64)
-    linked = root != np.arange(len(root))
+def _edges(part: pd.DataFrame, radius: int, leading: int) -> pd.DataFrame:
+    """Edges within a run, or between two."""
+    across = part["first"].iloc[0] != part["second"].iloc[0]
+    among = (part["run"] == part["first"]).to_numpy() if across else None
+    root = stars(part["print"].to_numpy(np.int64).view(np.uint64), radius, leading, among)
+    nodes, linked = part["node"].to_numpy(np.int64), root != np.arange(len(root))
     return pd.DataFrame({"a": nodes[linked], "b": nodes[root[linked]]})
 
 
-def _bucket_stars(radius: int, far: int):
-    """For sorted partitions: one bucket at a time, whichever batches it came in."""
+def arrangements(rows: int, radius: int) -> tuple[int, list[tuple[int, ...]]]:
+    """(blocks, the blocks that lead in each arrangement) for a number of fingerprints: the fewest blocks for which leading parts are shared by few."""
+    for blocks in range(radius + 1, max(radius + 1, MOST_BLOCKS) + 1):
+        if rows <= SHARED << (64 * (blocks - radius) // blocks):
+            break
+    return blocks, list(itertools.combinations(range(blocks), blocks - radius))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for part in parts:
-            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
-            block, value = part["block"].to_numpy(), part["value"].to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]) | (value[1:] != value[:-1])) + 1]) if len(part) else np.zeros(1, np.int64)
-            found = [_stars(part.iloc[a:b], radius, far) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
-            rest = part.iloc[cuts[-1] :]
-            if found:
-                yield pd.concat(found)
-        if rest is not None and len(rest) > 1:
-            yield _stars(rest, radius, far)
 
-    return run
+def _arranged(blocks: int, leading: tuple[int, ...]) -> tuple[Column, int]:
+    """The fingerprint with the bits of some blocks in front, and how many bits those are."""
+    bounds = [64 * k // blocks for k in range(blocks + 1)]
+    order = [*leading, *[k for k in range(blocks) if k not in leading]]
+    out, at = F.lit(0).cast("long"), 64
+    for k in order:
+        low, width = bounds[k], bounds[k + 1] - bounds[k]
+        at -= width
+        out = out.bitwiseOR(F.expr(f"shiftleft(shiftrightunsigned(shiftleft(print, {64 - low - width}), {64 - width}), {at})"))
+    return out, sum(bounds[k + 1] - bounds[k] for k in leading)
 
 
-def links(prints: DataFrame, radius: int, far: int | None = None, most: int = 20_000) -> DataFrame:
+def links(prints: DataFrame, radius: int, run_rows: int | None = None) -> DataFrame:
     """Edges ``a, b`` that join the same components as all pairs within the radius would.
 
-    ``prints``, a written table: ``node long, print long`` and, if ``far`` is given, ``wide binary``; a node may
-    have several rows (prints of several kinds, told apart by a column ``kind int``). Per bucket at most
-    one edge a row comes out, so a group of many near copies doesn't make all its pairs. ``print`` and
-    ``node`` aren't null. No rows give no edges.
+    ``prints``, a written table: ``node long, print long``, neither null; a node may have several rows. At most one edge a
+    row comes out of a run or a pair of runs, so a group of many near copies doesn't make all its pairs. No
+    rows give no edges.
     """
     ws = Workspace(prints.sparkSession, "links")
-    wide = ["wide"] if far is not None else []
-    blocks = radius + 1
-    bounds = [64 * k // blocks for k in range(blocks + 1)]
-    kind = F.col("kind") if "kind" in prints.columns else F.lit(0)
-    parts = [F.struct((kind * blocks + k).cast("int").alias("block"), F.expr(f"shiftrightunsigned(shiftleft(print, {low}), {64 - (high - low)})").alias("value")) for k, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
-    rows = prints.select("node", "print", *wide, F.explode(F.array(*parts)).alias("__p")).select("node", "print", *wide, "__p.block", "__p.value")
-    big = ws.table(rows.groupBy("block", "value").agg(F.count("*").alias("size")).where(F.col("size") > most).select("block", "value"), "big")
-    split = big.limit(1).count() > 0
-    # Without the large buckets, no bucket has more than ``most`` rows, whatever the input's size.
-    small = rows.join(big, ["block", "value"], "left_anti") if split else rows
-    out = small.repartition("block", "value").sortWithinPartitions("block", "value").mapInPandas(_bucket_stars(radius, far or 0), "a long, b long")
-    if split:
-        out = out.unionByName(_between_runs(ws, rows.join(big, ["block", "value"], "left_semi"), radius, far, most, ["node", "print", *wide]))
-    return ws.table(out.distinct(), "edges")
-
-
-def _between_runs(ws: Workspace, rows: DataFrame, radius: int, far: int | None, most: int, columns: list[str]) -> DataFrame:
-    """The same within large buckets: runs of up to ``most / 2`` rows in Gray order, and pairs of runs whose shared bits allow a link.
-
-    Places in the order come from prefix sums over all large buckets, so no task sorts a whole bucket.
-    """
-    rows = rows.withColumn("__g", F.col("print"))
+    run_rows = run_rows or RUN_ROWS
+    blocks, leads = arrangements(prints.count(), radius)
+    arranged = [_arranged(blocks, lead) for lead in leads]
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(64 - width).alias("rest"), bits.alias("print")) for k, (bits, width) in enumerate(arranged)])
+    rows = prints.select("node", F.explode(each).alias("__p")).select("node", "__p.*")
+    rows = rows.withColumn("rank", F.col("print"))
     for by in (1, 2, 4, 8, 16, 32):
-        rows = rows.withColumn("__g", F.expr(f"__g ^ shiftrightunsigned(__g, {by})"))
-    rows = ws.table(rows.withColumn("__one", F.lit(1).cast("long")), "large")
-    placed = prefix_sums(ws, rows, "placed", [F.col(c).asc() for c in ("block", "value", "__g", "print", "node")], {"__at": "__one"})
-    runs = ws.table(placed.withColumn("run", F.expr(f"__at div {max(1, most // 2)}L")).drop("__g", "__at", "__one"), "runs")
-    # A run is a node of the index: bits that are one, and bits that are zero, in all its rows.
-    nodes = runs.groupBy("block", "value", "run").agg(F.expr("bit_and(print)").alias("ones"), F.expr("bit_and(~print)").alias("zeros"))
+        rows = rows.withColumn("rank", F.expr(f"rank ^ shiftrightunsigned(rank, {by})"))
+    rows = ws.table(rows.withColumns({"lead": F.expr("shiftrightunsigned(print, rest)"), "one": F.lit(1).cast("long")}), "arranged")
+    placed = prefix_sums(ws, rows, "placed", [F.col(c).asc() for c in ("kind", "rank", "node")], {"at": "one"})
+    runs = ws.table(placed.select("node", "kind", "rest", "print", "lead", F.expr(f"at div {run_rows}L").alias("run")), "runs")
+    # Leading parts that go on in another run; there, a node per run: bits that are one, and bits that are zero, in all its rows.
+    across = ws.table(runs.groupBy("kind", "lead").agg(F.min("run").alias("low"), F.max("run").alias("high")).where("low < high").select("kind", "lead"), "across")
+    shared = ws.table(runs.join(across, ["kind", "lead"], "left_semi"), "shared")
+    nodes = shared.groupBy("kind", "lead", "run").agg(F.expr("bit_and(print)").alias("ones"), F.expr("bit_and(~print)").alias("zeros"))
     left, right = nodes.alias("l"), nodes.alias("r")
-    differ = F.expr("bit_count((l.ones & r.zeros) | (l.zeros & r.ones))")
-    same = (F.col("l.block") == F.col("r.block")) & (F.col("l.value") == F.col("r.value"))
-    pairs = left.join(right, same & (F.col("l.run") <= F.col("r.run")) & (differ <= radius)).select("l.block", "l.value", F.col("l.run").alias("first"), F.col("r.run").alias("second"))
-    sides = pairs.select("block", "value", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("run"))
-    dealt = runs.join(sides, ["block", "value", "run"])
-    return dealt.groupBy("block", "value", "first", "second").applyInPandas(lambda part: _stars(part[columns], radius, far or 0), "a long, b long")
+    same = (F.col("l.kind") == F.col("r.kind")) & (F.col("l.lead") == F.col("r.lead")) & (F.col("l.run") < F.col("r.run"))
+    apart = F.expr("bit_count((l.ones & r.zeros) | (l.zeros & r.ones))")
+    pairs = left.join(right, same & (apart <= radius)).select("l.kind", "l.lead", F.col("l.run").alias("first"), F.col("r.run").alias("second"))
+    sides = ws.table(pairs.select("kind", "lead", "first", "second", F.explode(F.array("first", "second")).alias("run")), "sides")
+    columns = ["kind", "first", "second", "lead", "run", "node", "print", "rest"]
+    between = shared.join(sides, ["kind", "lead", "run"]).select(columns)
+    within = runs.withColumns({"first": F.col("run"), "second": F.col("run"), "lead": F.lit(None).cast("long")}).select(columns)
+
+    def search(part: pd.DataFrame) -> pd.DataFrame:
+        return _edges(part, radius, 64 - int(part["rest"].iloc[0]))
+
+    out = within.unionByName(between).groupBy("kind", "first", "second", "lead").applyInPandas(search, "a long, b long")
+    return ws.table(out.distinct(), "edges")

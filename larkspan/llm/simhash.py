@@ -6,7 +6,6 @@ fingerprints are linked through the Gray-order index; components of links are gr
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,11 +86,6 @@ def near_groups(docs: DataFrame, shingle_words: int = 4, radius: int = 4) -> Dat
     return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def jaccard_bits(similarity: float, bits: int) -> int:
-    """Most bits in which prints may differ at a Jaccard similarity: two sets of one size at similarity s have cosine 2s / (1 + s), and a bit differs with probability angle / pi."""
-    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
 def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
     """Sorted hashes of a text's distinct shingles."""
     return np.unique(shingle_hashes((text or "").encode().lower().split(), shingle_words))

@@ -58,22 +58,54 @@ def test_fingerprints_and_groups(spark):
     assert simhash.near_groups(no_docs(spark)).count() == 0
 
 
-@pytest.mark.parametrize("most", [20_000, 40])
-def test_links_join_the_same_components_whatever_the_limit_of_a_bucket(spark, most):
+@pytest.mark.parametrize(("run_rows", "shared"), [(8192, 1024), (40, 1024), (40, 0), (7, 0)])
+def test_links_join_the_same_components_whatever_the_runs_and_blocks(spark, monkeypatch, run_rows, shared):
+    monkeypatch.setattr(gray_index, "SHARED", shared)
     rng = random.Random(2)
     bases = [rng.getrandbits(64) for _ in range(25)]
     prints = list({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(4))) for b in bases for _ in range(14)} | {rng.getrandbits(20) for _ in range(120)})
     signed = np.array(prints, np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(p, p) for p in signed], "node long, print long")
-    edges = gray_index.links(df, 4, most=most)
+    blocks, leads = gray_index.arrangements(len(prints), 3)
+    assert (blocks, len(leads)) == ((4, 4) if shared else (8, 56))
+    edges = gray_index.links(df, 3, run_rows)
     roots = {r["node"]: r["root"] for r in components.components(edges).collect()}
-    wanted = slow_groups(prints, 4)
+    wanted = slow_groups(prints, 3)
     assert Counter(Counter(roots.get(p, p) for p in signed).values()) == Counter(Counter(wanted).values())
     pairs = {}
     for p, g in zip(signed, wanted, strict=True):
         assert pairs.setdefault(g, roots.get(p, p)) == roots.get(p, p)
 
 
+def test_no_links_of_no_prints(spark):
+    assert gray_index.links(spark.createDataFrame([], "node long, print long"), 4).count() == 0
+
+
+def test_every_search_goes_through_the_index(monkeypatch):
+    """However few rows there are."""
+    monkeypatch.setattr(gray_index, "GrayIndex", None)
+    for n in (1, 2, 500):
+        with pytest.raises(TypeError):
+            gray_index.stars(np.arange(n, dtype=np.uint64), 4)
+
+
+def test_work_grows_with_the_rows():
+    """Comparisons a row in an arrangement's runs, at two sizes: only leading parts get fuller, and their nodes prune."""
+    rng = np.random.default_rng(1)
+    work = []
+    for n in (1 << 15, 1 << 18):
+        prints = np.sort(gray_index.gray_rank(rng.integers(0, 1 << 64, n, dtype=np.uint64)))
+        prints = prints ^ (prints >> np.uint64(1))
+        done = 0
+        for at in range(0, n, gray_index.RUN_ROWS):
+            index = gray_index.GrayIndex(prints[at : at + gray_index.RUN_ROWS])
+            for _ in index.search(prints[at : at + gray_index.RUN_ROWS], 4, 12):
+                pass
+            done += index.compared
+        work.append(done / n)
+    assert work[1] < 2.0 * work[0] and work[1] < 300
+
+
 def test_index_finds_all_pairs():
     rng = np.random.default_rng(0)
     p = np.unique(np.concatenate([rng.integers(0, 1 << 64, 500, dtype=np.uint64), rng.integers(0, 1 << 12, 300, dtype=np.uint64)]))
@@ -81,6 +113,11 @@ def test_index_finds_all_pairs():
     for a, b in gray_index.GrayIndex(p).search(p, 3, block=100):
         found |= set(zip(a.tolist(), b.tolist(), strict=True))
     assert found == set(zip(*(x.tolist() for x in np.nonzero(np.bitwise_count(p[:, None] ^ p[None]) <= 3)), strict=True))
+    found = set()
+    for a, b in gray_index.GrayIndex(p).search(p, 3, leading=16, block=100):
+        found |= set(zip(a.tolist(), b.tolist(), strict=True))
+    apart = p[:, None] ^ p[None]
+    assert found == set(zip(*(x.tolist() for x in np.nonzero((np.bitwise_count(apart) <= 3) & (apart >> np.uint64(48) == 0))), strict=True))
     assert sorted(gray_index.gray_rank(np.array([k ^ (k >> 1) for k in range(200)], np.uint64)).tolist()) == list(range(200))
 
 
@@ -146,11 +183,6 @@ def test_deduplication_keeps_all_columns_of_one_row(spark):
     assert simhash.deduplicated(no_docs(spark)).count() == 0
 
 
-def test_bits_for_a_similarity():
-    assert simhash.jaccard_bits(1.0, 512) == 0
-    assert 75 <= simhash.jaccard_bits(0.8, 512) <= 80
-
-
 # Mixing.
 
 
