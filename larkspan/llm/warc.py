@@ -49,6 +49,8 @@ LEAST_REVISIT = 100
 ARC_BYTES = 2 << 20
 #: Bytes of a WARC file; a longer record has a file of its own.
 FILE_BYTES = 64 << 20
+#: Of gzip: higher levels take twice the time for a twentieth of the size.
+LEVEL = 1
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _EPOCH = datetime.datetime(2000, 1, 1, tzinfo=datetime.UTC)
 
@@ -151,20 +153,20 @@ def payload_digest(payload: bytes) -> str:
     return hashlib.sha256(payload).hexdigest()
 
 
-def to_warc(record: ArcRecord, first: tuple[str, str, str] | None = None) -> bytes:
-    """The record as a WARC record without the blank line after it; ``first`` (id, address and date of the response with the same payload) makes it a revisit."""
+def to_warc(record: ArcRecord, first: tuple[str, str, str] | None = None, identifier: str | None = None, digest: str | None = None) -> bytes:
+    """The record as a WARC record without the blank line after it; ``first`` (id, address and date of the response with the same payload) makes it a revisit. Its id and payload digest are worked out unless they are given."""
     parts = record.http()
     payload = parts[1] if parts else record.body
     kind = "revisit" if first else "response" if parts or record.fields["url"].startswith("dns:") else "resource"
     block = parts[0] if first and parts else b"" if first else record.body
     lines = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", record.identifier),
+        ("WARC-Record-ID", identifier or record.identifier),
         ("WARC-Date", record.date),
         ("WARC-Target-URI", record.fields["url"]),
         ("WARC-IP-Address", record.fields.get("ip", "0.0.0.0")),
         ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()),
-        ("WARC-Payload-Digest", "sha256:" + payload_digest(payload)),
+        ("WARC-Payload-Digest", "sha256:" + (digest or payload_digest(payload))),
     ]
     if first:
         lines += [("WARC-Refers-To", first[0]), ("WARC-Refers-To-Target-URI", first[1]), ("WARC-Refers-To-Date", first[2]), ("WARC-Profile", PROFILE)]
@@ -191,21 +193,20 @@ class WarcError(ValueError):
     """A file that doesn't follow the format, or whose digest doesn't hold."""
 
 
-def _unpacked(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """Pieces of a file that may be plain or of one or more gzip members."""
+def _unpacked(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """Pieces of a file that may be plain or of one or more gzip members. What is unpacked isn't copied again."""
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    rest = memoryview(data)
-    while len(rest):
+    view, at = memoryview(data), 0
+    while at < len(data):
         member = zlib.decompressobj(31)
         while not member.eof:
-            if not len(rest):
+            piece = view[at : at + step]
+            if not len(piece):
                 raise WarcError("the file ends within a gzip member")
-            piece, rest = rest[:step], rest[step:]
             out = member.decompress(piece)
-            if member.eof and member.unused_data:
-                rest = memoryview(member.unused_data + bytes(rest))
+            at += len(piece) - len(member.unused_data)
             yield out
 
 
@@ -361,16 +362,16 @@ def convert(archives: DataFrame, folder: str, least: int = LEAST_REVISIT, file_b
             return out
 
         for part in parts:
-            for name, offset, fields, body, first_id, first_url, first_date in zip(*(part[c] for c in ("archive", "offset", "fields", "body", "first_id", "first_url", "first_date")), strict=True):
-                record = to_warc(ArcRecord(name, offset, dict(fields), body), (first_id, first_url, first_date) if first_id else None)
-                member = gzip.compress(record + RECORD_END, 6, mtime=0)
+            for name, offset, fields, body, own_id, digest, first_id, first_url, first_date in zip(*(part[c] for c in ("archive", "offset", "fields", "body", "record_id", "digest", "first_id", "first_url", "first_date")), strict=True):
+                record = to_warc(ArcRecord(name, offset, dict(fields), body), (first_id, first_url, first_date) if first_id else None, own_id, digest)
+                member = gzip.compress(record + RECORD_END, LEVEL, mtime=0)
                 if held and len(held) + len(member) > file_bytes:
                     yield flush()
                 held.extend(member)
         if held:
             yield flush()
 
-    chosen = records.select("archive", "offset", "fields", "body", *[F.col(f"first.{a}").alias(b) for a, b in (("record_id", "first_id"), ("url", "first_url"), ("date", "first_date"))])
+    chosen = records.select("archive", "offset", "fields", "body", "record_id", "digest", *[F.col(f"first.{a}").alias(b) for a, b in (("record_id", "first_id"), ("url", "first_url"), ("date", "first_date"))])
     written = chosen.mapInPandas(run, "file binary").select(F.col("file").cast("string").alias("value"))
     written.write.mode("overwrite").option("compression", "none").option("lineSep", "\0").option("maxRecordsPerFile", 1).text(folder)
     _named(archives.sparkSession, folder)
