@@ -1,9 +1,11 @@
 """Secret scans with a random forest against false positives.
 
-Candidates are long tokens that look generated or are assigned to a name. Each is described by its length,
-its character classes and the transitions between them, the share of it that dictionary fragments cover,
-the path it was found under and the words before and after it. A random forest, trained on labelled
-findings, tells secrets from identifiers, hashes in other contexts, placeholders and prose.
+Candidates are long tokens that look generated, and values, short and punctuated ones too, that are assigned to a name
+that secrets go by. A name isn't part of its value. Each candidate is described by its length, its character
+classes and the transitions between them, the share of it that dictionary fragments cover, the path it was
+found under and the words before and after it in the text. A random forest, trained on labelled findings, tells
+secrets from identifiers, hashes in other contexts, placeholders and prose. The findings that it is trained on by default
+are cut out of generated texts by the same expressions that cut candidates out of documents.
 
 The main path has built-in column functions and the library's DataFrame-based forest only.
 """
@@ -11,6 +13,7 @@ The main path has built-in column functions and the library's DataFrame-based fo
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -20,10 +23,10 @@ from pyspark.sql import functions as F
 
 from larkspan.tables import Workspace
 
-#: Shortest candidate.
-LEAST = 16
+#: Shortest candidate that nothing is assigned to a name by, and shortest value that is. Shorter ones aren't looked at.
+LEAST, LEAST_ASSIGNED = 16, 6
 #: Labelled findings that the forest is fitted on, at most.
-TRAINING_ROWS = 6_000
+TRAINING_ROWS = 12_000
 # Names that secrets are assigned to, and words around findings that aren't secrets.
 NAMES = "token|secret|passw|passwd|password|pwd|apikey|api_key|api-key|access_key|auth|bearer|credential|private"
 HARMLESS = "commit|sha|sha1|sha256|md5|checksum|digest|uuid|guid|etag|revision|build|hash|integrity|version|id"
@@ -35,7 +38,13 @@ FRAGMENTS = (
     "user|name|file|path|data|type|code|line|list|item|value|index|class|object|method|string|number|config|server|client|default|http|html|www|src|lib|main|get|set"
 )
 FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "distinct", "transitions", "hex", "covered", "prefix", "assigned", "quoted", "named", "harmless", "placeholder", "path_plain")
-_CANDIDATE = rf"[A-Za-z0-9+/_.~=-]{{{LEAST},}}"
+#: What stands between a name and its value, and the rest of a name.
+_SIGN = "[\"'`]?\\s{0,2}(?:=>|:=|=|:)\\s{0,2}[\"'`]?"
+_NAMED = f"(?:{NAMES})[A-Za-z0-9_-]{{0,20}}{_SIGN}"
+# A value begins after a sign and at most two quotes or blanks; that is looked at first, as it is cheap.
+_VALUE = f"(?<=[=:>][\"'`\\s]{{0,3}})(?<=(?i:{_NAMED}))[^\\s\"'`,;&<>(){{}}\\[\\]]{{{LEAST_ASSIGNED},}}"
+_LONG = f"[A-Za-z0-9+_][A-Za-z0-9+/_.~-]{{{LEAST - 1},}}={{0,2}}"
+_CANDIDATE = f"{_VALUE}|{_LONG}"
 _PREFIXES = "^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abpr]-|AIza|eyJ|SG[.]|npm_|pypi-)"
 
 
@@ -64,9 +73,9 @@ def features(findings: DataFrame) -> DataFrame:
             "hex": flag(token.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
             "covered": _share(lower, FRAGMENTS),
             "prefix": flag(token.rlike(_PREFIXES)),
-            "assigned": flag(before.rlike("[:=]>?[\"'`]?$")),
+            "assigned": flag(before.rlike("[:=]>? {0,2}[\"'`]?$")),
             "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
-            "named": flag(before.rlike(f"({NAMES})[^ ]* ?[:=]?>? ?[\"'`]?$")),
+            "named": flag(before.rlike(f"({_NAMED}|bearer |basic )$")),
             "harmless": flag(before.rlike(f"(^|[^a-z])({HARMLESS})[^a-z ]* ?[:=#/-]? ?[\"'`]?$")),
             "placeholder": flag(lower.rlike(PLACEHOLDER)),
             "path_plain": flag(path.rlike(PATHS)),
@@ -93,8 +102,10 @@ def in_blocks(numbers: Column, size: int = 256) -> Column:
 def candidates(texts: DataFrame) -> DataFrame:
     """``start, candidate, before, after`` and the other columns of ``texts(text, ...)`` for each candidate; ``start`` counts characters from 1. The text isn't repeated.
 
-    A candidate is a run of ``LEAST`` or more letters, digits and ``+/_.~=-`` with a digit, or with lower and
-    upper case mixed within, or after an assignment; ``before`` and ``after`` are up to 40 characters around.
+    A candidate is a run of ``LEAST`` or more letters, digits and ``+/_.~-``, not with a mark but ``+`` or ``_`` in front and with
+    up to two signs ``=`` of padding, that has a digit, or lower and upper case mixed within; or a run of ``LEAST_ASSIGNED`` or more characters other than
+    blanks, quotes and brackets after a name of ``NAMES`` and a sign. ``before`` and ``after`` are up to 40 characters of
+    the text around, whatever they are.
     """
     # The text is cut at candidates: piece k stands before candidate k.
     found = texts.where(F.col("text").rlike(_CANDIDATE)).withColumn("__all", F.regexp_extract_all("text", F.lit(f"({_CANDIDATE})"), F.lit(1)))
@@ -102,56 +113,83 @@ def candidates(texts: DataFrame) -> DataFrame:
     steps = F.transform("__all", lambda c, k: (F.length(F.element_at("__gaps", k + 1)) + F.length(c)).cast("long"))
     found = found.withColumn("__steps", steps).withColumn("__blocks", in_blocks(F.col("__steps"))).withColumn("__before", running_sums(F.transform("__blocks", total)))
     found = found.withColumn("__ends", F.flatten(F.transform("__blocks", lambda own, k: running_sums(own, F.element_at("__before", k + 1) - total(own)))))
+    last = lambda c: F.substring(c, -40, 40)
+    first = lambda c: F.substring(c, 1, 40)
+    # A candidate has 6 characters or more, so the seven pieces on a side fill 40 unless the text ends there.
+    back = lambda k: [x for d in range(6, 0, -1) for x in (F.when(k >= d, last(F.get("__gaps", k - d))), F.when(k >= d, last(F.get("__all", k - d))))]
+    on = lambda k: [x for d in range(1, 7) for x in (first(F.get("__all", k + d)), first(F.get("__gaps", k + 1 + d)))]
     each = F.transform(
         "__all",
         lambda c, k: F.struct(
             c.alias("candidate"),
             (F.element_at("__ends", k + 1) - F.length(c) + 1).cast("int").alias("start"),
-            F.substring(F.element_at("__gaps", k + 1), -40, 40).alias("before"),
-            F.substring(F.element_at("__gaps", k + 2), 1, 40).alias("after"),
+            last(F.concat_ws("", *back(k), last(F.get("__gaps", k)))).alias("before"),
+            first(F.concat_ws("", first(F.get("__gaps", k + 1)), *on(k))).alias("after"),
         ),
     )
     others = [F.col(f"`{c}`") for c in texts.columns if c != "text"]
     rows = found.select(*others, F.explode(each).alias("__f")).select(*others, "__f.*")
-    generated = F.col("candidate").rlike("[0-9]") | F.col("candidate").rlike("[a-z].*[A-Z].*[a-z].*[A-Z]") | F.lower("before").rlike(f"({NAMES})[^ ]* ?[:=]>? ?[\"'`]?$")
-    return rows.where(generated)
+    long = F.col("candidate").rlike(f"^{_LONG}$") & (F.col("candidate").rlike("[0-9]") | F.col("candidate").rlike("[a-z].*[A-Z].*[a-z].*[A-Z]"))
+    return rows.where(long | F.lower("before").rlike(f"{_NAMED}$"))
 
 
-def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
-    """Findings with labels, made by rule from hashes: secrets of several forms as people write them, and what is mistaken for them."""
+def labelled_texts(spark: SparkSession, rows: int) -> DataFrame:
+    """``text, value, label, path``: short texts that hold a value, made by rule from hashes: secrets of several forms as people write them, and what is mistaken for them."""
     i = F.col("id")
-    hexes = lambda salt, n: F.substring(F.sha2(F.concat(i.cast("string"), F.lit(salt)).cast("binary"), 512), 1, n)
-    mixed = lambda salt, n: F.substring(F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(i.cast("string"), F.lit(salt)).cast("binary"), 512))), "[+/=]", "Q"), 1, n)
     pick = lambda salt, *values: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
-    name = pick("name", "token", "secret", "password", "api_key", "auth_token", "access_key", "apikey", "PRIVATE_KEY", "client_secret")
-    assign = F.concat(pick("word", "the ", "set ", "", "in ", "oring. "), name, pick("sign", ' = "', "='", ": ", "=", ' => "', ': "'))
-    closing = pick("close", '" ', "' ", "\n", " ", '",')
-    word = lambda salt: pick(salt, "user", "config", "manager", "default", "server", "einstellung", "verwaltung", "tionement", "ciudades", "request", "handler", "version")
-    prose = pick("prose", "see ", "und ", "the ", "que ", "de la ", ". ", "on the ", "est ")
+    digest = lambda salt: F.sha2(F.concat(i.cast("string"), F.lit(salt)).cast("binary"), 512)
+    cut = lambda text, salt, low, high: F.substring(text, F.lit(1), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(high - low + 1)) + low).cast("int"))
+    case = lambda salt, text: F.when(F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(6)) == 0, F.upper(text)).otherwise(text)
+    hexes = lambda salt, low, high=0: cut(digest(salt), salt, low, high or low)
+    mixed = lambda salt, low, high: cut(F.regexp_replace(F.base64(F.unhex(digest(salt))), "[/=\n\r]", "-"), salt, low, high)
+    typed = lambda salt, low, high: cut(F.translate(digest(salt), "0123456789abcdef", "aR3!kP9@xQ7#mZ2$"), salt, low, high)
+    word = lambda salt: pick(salt, "user", "config", "manager", "default", "server", "einstellung", "verwaltung", "tionement", "ciudades", "request", "handler", "version", "summer", "dragon", "orange", "winter", "reset", "session", "number")
+    prose = lambda salt: pick(salt, "see ", "und ", "the ", "que ", "de la ", ". ", "on the ", "est ", "\n", "", "export ", "- ", "  ", "with ")
+    name = pick("name", "token", "secret", "password", "api_key", "auth_token", "access_key", "apikey", "PRIVATE_KEY", "client_secret", "DB_PASSWORD", "passwd", "aws_secret_access_key", "GITHUB_TOKEN", "API-KEY", "credentials", "SecretKey", "pwd", "TOKEN")
+    sign = pick("sign", ' = "', "='", ": ", "=", "=", ' => "', ': "', '": "', "=", " := `", " = ")
+    ending = F.when(sign.contains('"'), pick("c1", '" ', '",', '"\n', '"')).when(sign.contains("'"), pick("c2", "' ", "'\n", "',")).when(sign.contains("`"), F.lit("` ")).otherwise(pick("c3", " ", "\n", "\n", "&user=1 ", ""))
+    assign = F.concat(prose("a0"), pick("open", "", "", "?", "?id=7&", '"', "https://h.io/a?"), name, sign)
+    short = F.concat(word("s1"), pick("s2", "", "_", "-", "!", "@"), hexes("s3", 2, 4), pick("s4", "", "!", "$", "#1", "?"))
+    placeholder = pick("q", "your_token_goes_here", "xxxxxxxxxxxxxxxxxxxxxxxx", "example-secret-value-123", "changeme_changeme_1", "0000000000000000", "${API_KEY}", "test_password_example1", "$SECRET_VALUE", "changeme", "example", "********", "redacted", "dummy-value-99", "your-api-key-here", "{{vault_token}}", "%s:%s:%s", "sample_token_12")
+    plain = F.concat(word("w1"), pick("wj", "", "", "_", "-", "."), F.when(F.pmod(F.xxhash64(i, F.lit("w")), F.lit(2)) == 0, word("w2")).otherwise(""), pick("we", "", "", ".", "s", "ed"))
+    code = F.concat(pick("k1", "os.environ", "get_", "config.", "self.", "request.", "settings.", "load_"), word("k2"), pick("k3", "", "_token", ".value", "_name"))
     uuid = F.concat_ws("-", hexes("u1", 8), hexes("u2", 4), hexes("u3", 4), hexes("u4", 4), hexes("u5", 12))
+    harmless = lambda salt: pick(salt, "commit ", "sha1: ", "rev ", "checksum=", "digest: ", "build ", "integrity ", "etag: ", "sha256: ", "hash=", "md5 ", "revision=", "ETag: \"", "version: ")
+    after = pick("z", " ", "\n", ".", ", ", " the ", "")
     forms = [
-        (1, assign, hexes("a", 40), closing),
-        (1, assign, hexes("b", 32), closing),
-        (1, assign, mixed("c", 40), closing),
-        (1, F.concat(pick("d0", "key ", "id = ", "", "use "), F.lit("")), F.concat(F.lit("AKIA"), F.upper(mixed("d", 16))), closing),
-        (1, pick("e0", "export GH=", "clone ", "", "git "), F.concat(F.lit("ghp_"), mixed("e", 36)), closing),
-        (1, F.lit("Authorization: Bearer "), mixed("f", 48), F.lit("\n")),
-        (0, pick("g0", "commit ", "sha1: ", "rev ", "checksum=", "digest: ", "build "), hexes("g", 40), pick("g1", " ", "\n", ".")),
-        (0, pick("h0", "id=", "uuid: ", "guid ", "request "), uuid, pick("h1", " ", "\n", ".")),
-        (0, prose, F.lpad(F.pmod(F.xxhash64(i), F.lit(10**15)).cast("string"), 16, "4"), pick("n1", " ", " the ", ", ")),
-        (0, prose, F.concat(word("w1"), word("w2"), word("w3"), pick("w4", "", "2", "10", ".")), pick("w5", " ", ", ", ". ")),
-        (0, prose, F.concat(word("x1"), F.initcap(word("x2")), F.initcap(word("x3")), F.initcap(word("x4"))), pick("x5", "(", " ", ".")),
-        (0, prose, F.concat(pick("p1", "src/", "/usr/lib/", "docs/", "www."), word("p2"), F.lit("/"), word("p3"), pick("p4", ".py", ".html", "-1.2.3", "/index.html")), pick("p5", " ", "\n")),
-        (0, assign, pick("q", "your_token_goes_here", "xxxxxxxxxxxxxxxxxxxxxxxx", "example-secret-value-123", "changeme_changeme_1", "0000000000000000", "<redacted>1234567890abc", "test_password_example1"), closing),
-        (0, prose, F.concat(hexes("m", 6), F.lit("."), pick("m2", "78", "12"), F.lit("mail"), pick("m3", "1", "7"), F.lit(".example.com")), F.lit(" ")),
-        (0, pick("r0", "integrity ", "etag: ", "sha256: ", "hash="), hexes("r", 64), pick("r1", " ", "\n")),
+        (1, assign, case("ha", hexes("a", 32, 64)), ending),
+        (1, assign, case("hb", hexes("b", 40)), ending),
+        (1, assign, mixed("c", 20, 60), ending),
+        (1, assign, typed("t", 8, 20), ending),
+        (1, assign, short, ending),
+        (1, F.concat(prose("d0"), pick("d1", "key ", "id = ", "", "use ", "aws_access_key_id=", "AccessKeyId: ")), F.concat(pick("d2", "AKIA", "ASIA"), F.upper(hexes("d", 16))), after),
+        (1, F.concat(prose("e0"), pick("e1", "GH=", "clone ", "", "git ", "token=", "GITHUB_TOKEN: ")), F.concat(pick("e2", "ghp_", "gho_", "glpat-", "sk-", "npm_", "xoxb-"), F.regexp_replace(mixed("e", 30, 40), "[+]", "x")), after),
+        (1, pick("f0", "Authorization: Bearer ", "authorization: bearer ", "Authorization: Basic ", "-H 'Authorization: Bearer "), mixed("f", 24, 64), pick("f1", "\n", " ", "'")),
+        (0, F.concat(prose("g0"), harmless("g1")), case("hg", hexes("g", 32, 64)), after),
+        (0, F.concat(prose("h0"), pick("h1", "id=", "uuid: ", "guid ", "request ", "request_id=", "")), uuid, after),
+        (0, prose("n0"), F.lpad(F.pmod(F.xxhash64(i), F.lit(10**15)).cast("string"), 16, "4"), after),
+        (0, prose("v0"), F.concat(word("v1"), word("v2"), word("v3"), pick("v4", "", "2", "10", ".")), after),
+        (0, prose("x0"), F.concat(word("x1"), F.initcap(word("x2")), F.initcap(word("x3")), F.initcap(word("x4"))), pick("x5", "(", " ", ".")),
+        (0, prose("p0"), F.concat(pick("p1", "src/", "/usr/lib/", "docs/", "www."), word("p2"), F.lit("/"), word("p3"), pick("p4", ".py", ".html", "-1.2.3", "/index.html")), after),
+        (0, assign, placeholder, ending),
+        (0, assign, plain, ending),
+        (0, F.concat(prose("k0"), name, pick("k4", " = ", "=", ": ")), code, pick("k5", "(", "\n", "[", " ", "()")),
+        (0, prose("m0"), F.concat(hexes("m", 6), F.lit("."), pick("m1", "78", "12"), F.lit("mail"), pick("m2", "1", "7"), F.lit(".example.com")), F.lit(" ")),
+        (0, F.concat(prose("o0"), pick("o1", "color: ", "path=", "name: ", "url = ")), F.concat(pick("o2", "https://", "/var/", "//"), word("o3"), F.lit(".io/"), hexes("o", 6, 12)), after),
     ]
-    chosen = F.array(*[F.struct(F.lit(float(y)).alias("label"), b.alias("before"), c.alias("candidate"), a.alias("after")) for y, b, c, a in forms])
     # Secrets and other findings are half and half.
     secret = sum(y for y, *_ in forms)
     number = F.when(i % 2 == 0, F.pmod(F.xxhash64(i, F.lit("form")), F.lit(secret))).otherwise(secret + F.pmod(F.xxhash64(i, F.lit("form")), F.lit(len(forms) - secret)))
     path = pick("path", "src0", "src7", "app/main.py", "web/settings.yml", "tests/fixtures/keys.py", "docs/readme.md", "examples/demo.sh", "src13")
-    return spark.range(rows).select(F.element_at(chosen, (number + 1).cast("int")).alias("f"), path.alias("path")).select("f.*", "path")
+    # A form at a time: one expression of all of them would be too large to compile.
+    each = [spark.range(rows).where(number == k).select(F.lit(float(y)).alias("label"), F.concat(b, v, a).alias("text"), v.alias("value"), path.alias("path")) for k, (y, b, v, a) in enumerate(forms)]
+    return reduce(DataFrame.unionByName, each)
+
+
+def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
+    """``candidate, before, after, path, label``: what ``candidates`` cuts out of labelled texts. A finding other than the text's secret isn't one."""
+    found = candidates(Workspace(spark, "labelled").table(labelled_texts(spark, rows), "texts"))
+    return found.select("candidate", "before", "after", "path", ((F.col("candidate") == F.col("value")) & (F.col("label") == 1)).cast("double").alias("label"))
 
 
 @dataclass
@@ -170,10 +208,11 @@ class Scanner:
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 42, threshold: float = 0.5) -> Scanner:
-    """Fit on findings ``label, candidate, before, after, path``, a bounded table. The number of threads and partitions doesn't change the result: the rows are put in one order first."""
+    """Fit on findings ``label, candidate, before, after, path``, at most ``TRAINING_ROWS`` of them, chosen by hash. The number of threads and partitions doesn't change the result: the rows are put in one order first."""
     ws = Workspace(findings.sparkSession, "secrets")
-    # At most TRAINING_ROWS rows: one partition gives the forest's sampling a fixed order.
-    fixed = findings.limit(TRAINING_ROWS).orderBy("candidate", "before", "label").coalesce(1)
+    # One partition of a bounded number of rows gives the forest's sampling a fixed order.
+    order = [F.xxhash64("candidate", "before", "after", "path"), "candidate", "before", "after", "path", "label"]
+    fixed = findings.orderBy(*order).limit(TRAINING_ROWS).orderBy("candidate", "before", "after", "path", "label").coalesce(1)
     rows = ws.table(VectorAssembler(inputCols=list(FEATURES), outputCol="__features").transform(features(fixed)).select("label", vector_to_array("__features").alias("values")), "findings")
     forest = RandomForestClassifier(labelCol="label", featuresCol="__features", probabilityCol="__probability", predictionCol="__prediction", rawPredictionCol="__raw", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8)
     return Scanner(forest.fit(rows.select("label", array_to_vector("values").alias("__features"))), threshold)
@@ -182,7 +221,8 @@ def train(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 42,
 def scan_documents(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """``doc_id, start, candidate, score, is_secret`` for each candidate in ``docs(doc_id, text, source)``, whole texts; the source is the path.
 
-    The forest is trained on ``labelled_findings`` unless a scanner is given. Null and empty texts have no
+    The forest is trained on ``labelled_findings`` unless a scanner is given. A secret without a name before it and below
+    ``LEAST`` characters, or a named one below ``LEAST_ASSIGNED``, is no candidate. Null and empty texts have no
     candidates; a null source is an empty path. Repeated rows and null ids each keep their candidates.
     Other columns don't matter. An empty table gives no rows.
     """
