@@ -241,7 +241,8 @@ def synthetic_negatives(spark: SparkSession, vocabulary: list[str], wake_word: s
         mixed = F.array_sort(F.transform(own, lambda w: F.struct(order_key(seed, "word", F.concat_ws("-", i.cast("string"), w)).alias("k"), w.alias("w"))))
         draws = F.transform(F.slice(mixed, F.lit(1), size), lambda x: x["w"])
     else:
-        own = strings(free)
+        # One literal, however many words there are.
+        own = F.split(F.lit("\u001f".join(free)), "\u001f")
         draws = F.transform(F.sequence(F.lit(1), size), lambda k: F.element_at(own, integer(seed, "word", F.concat_ws("-", i.cast("string"), k.cast("string")), F.size(own)) + 1))
     made = spark.range(count * oversample).select(i.alias("position"), F.array_join(draws, " ").alias("phrase")).where(~contains_any(F.col("phrase"), wake_word))
     first = made.groupBy(F.lower("phrase").alias("__k")).agg(F.min_by(F.struct("position", "phrase"), "position").alias("f"))

@@ -41,8 +41,9 @@ MANIFEST = """manifest AS (SELECT 'clips/' || doc_id || '.wav' AS path, quality:
 AUDIO = "audio AS (SELECT 'clips/' || vec_id || '.wav' AS path, embedding AS audio, (label = 0)::INT AS label, vec_id AS position, label AS class FROM embeddings)"
 SIGNALS = """signals AS (SELECT signal_id, list(s ORDER BY vec_id, k) AS audio FROM (
   SELECT (vec_id // 640 * 10 + label)::BIGINT AS signal_id, vec_id, unnest(embedding) AS s, unnest(range(len(embedding))) AS k FROM embeddings) GROUP BY signal_id)"""
-PHRASES = """phrases AS (SELECT * FROM (SELECT item_id AS position,
-  array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' +'), lambda w: w <> '')[1:3], ' ') AS phrase FROM benchmark) WHERE phrase <> '')"""
+PHRASES = """phrases AS (SELECT item_id * 1000000 + piece AS position, array_to_string(ws[3 * piece + 1:3 * piece + 3], ' ') AS phrase
+  FROM (SELECT item_id, ws, unnest(range(0, (len(ws) + 2) // 3)) AS piece
+    FROM (SELECT item_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' +'), lambda w: w <> '') AS ws FROM benchmark)))"""
 
 
 def U(purpose: str, key: str) -> str:
@@ -744,7 +745,8 @@ def wake_word_filter(spark, sf_dir):
 
 @query()
 def synthetic_negatives(spark, sf_dir):
-    words = [r["w"] for r in views.phrases(spark, sf_dir).select(F.explode(phrases.words(F.col("phrase"))).alias("w")).distinct().orderBy("w").limit(500).collect()]
+    # The vocabulary is an argument of the generator: a list of distinct words.
+    words = [r["w"] for r in views.phrases(spark, sf_dir).select(F.explode(phrases.words(F.col("phrase"))).alias("w")).distinct().orderBy("w").collect()]
     made = phrases.synthetic_negatives(spark, words, "the_and", 200, seed=SEED).withColumn("strategy", F.lit("random"))
     for strategy in ("sentence", "topic"):
         made = made.unionByName(phrases.synthetic_negatives(spark, words, "the_and", 100, strategy=strategy, seed=SEED).withColumn("strategy", F.lit(strategy)))

@@ -69,6 +69,8 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``position, phrase``: the first three words of each benchmark item, letters only, in lower case."""
-    cleaned = F.regexp_replace(F.lower("text"), "[^a-z ]", " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("position"), F.array_join(F.slice(F.filter(F.split(cleaned, " +"), lambda w: w != ""), 1, 3), " ").alias("phrase")).where("phrase <> ''")
+    """``position, phrase``: the words of each benchmark item, letters only, in lower case, in phrases of three; the last may be shorter."""
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", " "), " +"), lambda w: w != "")
+    items = table(spark, sf_dir, "benchmark").select("item_id", words.alias("words")).where(F.size("words") > 0)
+    starts = F.posexplode(F.sequence(F.lit(1), F.size("words"), F.lit(3)))
+    return items.select("item_id", "words", starts.alias("piece", "start")).select((F.col("item_id") * 1_000_000 + F.col("piece")).alias("position"), F.array_join(F.slice("words", F.col("start"), F.lit(3)), " ").alias("phrase"))

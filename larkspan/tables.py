@@ -20,9 +20,11 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests on one machine."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and one machine does all the work, as in tests. An error on a cluster, where executors wouldn't see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         found = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="larkspan-"))
     return found.rstrip("/")
@@ -54,6 +56,16 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def lookup(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Mark a table for broadcast if it is checked to be small; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if at_most(df, rows) else df
+def lookup(df: DataFrame, rows: int = 100_000, size: int = 64 << 20) -> DataFrame:
+    """Mark a table for broadcast if it is checked to be small; otherwise leave the join to shuffle.
+
+    Rows are checked, and their bytes where a column's width isn't fixed.
+    """
+    if not at_most(df, rows):
+        return df
+    wide = [c for c, t in df.dtypes if t in ("string", "binary") or t.startswith(("array", "map", "struct"))]
+    if wide:
+        length = sum((F.coalesce(F.length(F.col(f"`{c}`").cast("string") if t not in ("string", "binary") else F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if c in wide), F.lit(0))
+        if (df.agg(F.sum(length.cast("long"))).first()[0] or 0) > size:
+            return df
+    return F.broadcast(df)
