@@ -266,6 +266,50 @@ def test_shards(spark, shards):
     assert [r["hilbert"] for r in order] == sorted(r["hilbert"] for r in got)
 
 
+def test_shards_equal_brute_force(spark):
+    """Cells, the order along the curve, shards and slots of each row, worked out one by one."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(k, None if k % 17 == 0 else " ".join(words(rng, rng.randrange(60))), rng.choice(["en", "de", "es", None]), rng.choice(["a", "b", "b", "b", "ü", None]), 0) for k in range(333)]
+    got = {r["doc_id"]: tuple(r) for r in sharding.shard(spark.createDataFrame(rows, SCHEMA), 16).collect()}
+    last = lambda v: (v is None, v or "")
+    side = 1 << sharding.BITS
+
+    def cell(k):
+        values = sorted((r[k] for r in rows), key=last)
+        return {v: values.index(v) * side // len(rows) for v in set(values)}
+
+    sources, langs = cell(3), cell(2)
+    raw = {r[0]: (r[1] or "").encode() for r in rows}
+    length = {i: min(side - 1, int(2 * np.log2(len(t) + 1))) for i, t in raw.items()}
+    cells = {i: (sources[s], langs[n], length[i]) for i, _, n, s, _ in rows}
+    index = sharding.hilbert_index(F.col("x"), F.col("y"), F.col("z"), sharding.BITS)
+    curve = {tuple(r)[:3]: r["h"] for r in spark.createDataFrame(sorted(set(cells.values())), "x int, y int, z int").withColumn("h", index).collect()}
+    order = sorted(rows, key=lambda r: (curve[cells[r[0]]], last(r[3]), last(r[2]), len(raw[r[0]]) + 1, r[0]))
+    slots = Counter()
+    for k, r in enumerate(order):
+        shard = k * 16 // len(rows)
+        assert got[r[0]] == (r[0], len(raw[r[0]]) + 1, zlib.crc32(raw[r[0]]), curve[cells[r[0]]], shard, slots[shard])
+        slots[shard] += 1
+
+
+def test_ranges_of_metadata_skip_shards(spark):
+    """What the order is for: a filter on any of the dimensions rules out most shards by their least and largest values."""
+    rng = random.Random(5)
+    rows = [(k, "x" * int(2 ** rng.uniform(0, 14)), rng.choice("abcdefgh"), rng.choice("ABCDEFGH"), 0) for k in range(4096)]
+    shards = {}
+    place = {r["doc_id"]: r["shard"] for r in sharding.shard(spark.createDataFrame(rows, SCHEMA), 64).collect()}
+    for r in rows:
+        shards.setdefault(place[r[0]], []).append((r[3], r[2], len(r[1])))
+    ends = [[(min(c), max(c)) for c in zip(*own, strict=True)] for own in shards.values()]
+    read = lambda k, low, high: sum(e[k][0] <= high and low <= e[k][1] for e in ends) / len(ends)
+    assert max(read(0, v, v) for v in "ABCDEFGH") < 0.5 and max(read(1, v, v) for v in "abcdefgh") < 0.6 and read(2, 1, 100) < 0.75 and read(2, 8000, 1 << 14) < 0.5
+    # Where one dimension alone decides the order, filters on the others read nearly all.
+    both = [e for e in ends if e[0][0] <= "C" <= e[0][1] and e[1][0] <= "c" <= e[1][1]]
+    assert len(both) < 0.25 * len(ends)
+
+
 def test_no_shards_of_nothing(spark):
     assert sharding.shard(no_docs(spark)).count() == 0
 
@@ -464,6 +508,43 @@ def test_more_than_five_languages_in_a_text():
     assert {n for n, _ in found} == set(names[:7]) and all(0.1 < p < 0.2 for _, p in found)
 
 
+def test_shares_equal_a_plain_loop():
+    rng = np.random.default_rng(3)
+    probs, counts = rng.random((40, 3)) + 0.01, rng.integers(1, 9, 40)
+    pi = [1 / 3] * 3
+    for _ in range(30):
+        new = [0.0] * 3
+        for n, row in zip(counts, probs, strict=True):
+            whole = sum(p * x for p, x in zip(pi, row, strict=True))
+            for k in range(3):
+                new[k] += n * pi[k] * row[k] / whole / counts.sum()
+        done = max(abs(a - b) for a, b in zip(new, pi, strict=True)) < 1e-4
+        pi = new
+        if done:
+            break
+    found, likelihood = languages.shares(counts, probs, np.full(3, 1 / 3))
+    assert np.allclose(found, pi, atol=1e-12)
+    assert np.isclose(likelihood, sum(n * np.log(sum(p * x for p, x in zip(pi, row, strict=True))) for n, row in zip(counts, probs, strict=True)))
+
+
+def test_language_sets_equal_those_of_all_subsets():
+    """Of all sets of languages, that of the largest penalised likelihood, each fitted by itself."""
+    rng = random.Random(13)
+    kinds = list(SYLLABLES)
+    counts = np.array([np.bincount(languages.trigrams(speech(rng, SYLLABLES[n], 3000)), minlength=languages.BUCKETS) for n in kinds], float).T
+    own = counts / counts.sum(axis=0)
+    model = languages.Model(kinds, np.log(0.95 * own + 0.045 * own.mean(axis=1, keepdims=True) + 0.005 / languages.BUCKETS))
+    same = 0
+    for _ in range(40):
+        text = " ".join(speech(rng, SYLLABLES[n], rng.randrange(8, 120)) for n in rng.sample(kinds, rng.randrange(1, 4)))
+        buckets, n = np.unique(languages.trigrams(text), return_counts=True)
+        probs, total = np.exp(model.logs[buckets]), n.sum()
+        penalty = 0.5 * np.log(max(2.0, total / languages.OVERLAP)) + 1.0
+        best = max((languages.shares(n, probs[:, list(c)], np.full(len(c), 1 / len(c)), 300)[1] / languages.OVERLAP - penalty * len(c), c) for size in (1, 2, 3) for c in itertools.combinations(range(3), size))
+        same += {x for x, _ in languages.infer(model, text)} == {kinds[k] for k in best[1]}
+    assert same >= 39
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "some text", None, None, 0)], SCHEMA)
     assert [tuple(r)[2:4] for r in languages.identify(df).collect()] == [(languages.NONE, 0.0)]
