@@ -178,8 +178,10 @@ class Buckets:
                 if len(best) == most:
                     reach = min(reach, factor * float(hashes.away(q[k : k + 1], best[-1:])[0]))
                 at, step = to, 2 * step
-            if len(best):
-                yield k, best_ids.tolist(), best.tolist()
+            # What lies farther than the worst known neighbour isn't among the nearest; ties stay.
+            near = hashes.away(np.repeat(q[k : k + 1], len(best), axis=0), best) <= worst[k] * (1 + 1e-9) + 1e-9
+            if near.any():
+                yield k, best_ids[near].tolist(), best[near].tolist()
 
 
 def nearest(q: np.ndarray, own: int, x: np.ndarray, ids: np.ndarray, rough: np.ndarray, most: int) -> tuple[list[int], list[float]]:
