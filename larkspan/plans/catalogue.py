@@ -664,12 +664,64 @@ def _wake_words(spark, sf_dir):
     return views.phrases(spark, sf_dir).select(F.concat(F.element_at(phrases.strings(("hey", "okay", "hi", "yo", "for")), (F.col("position") % 5 + 1).cast("int")), F.lit(" "), "phrase").alias("phrase"))
 
 
-@query()
+WAKE_WORDS = f"""{PHRASES}, w AS (SELECT DISTINCT ['hey', 'okay', 'hi', 'yo', 'for'][position % 5 + 1] || ' ' || phrase AS phrase FROM phrases),
+i AS (SELECT phrase, ws, unnest(range(1, len(ws) + 1)) AS k FROM (SELECT phrase, string_split(phrase, ' ') AS ws FROM w))"""
+
+
+def _pairs(table: dict, most: int) -> str:
+    """Rows (c, o) of what stands for what."""
+    return f"(SELECT * FROM (VALUES {', '.join(f"('{k}', '{o}')" for k, v in table.items() for o in v[:most] if o != k)}) t(c, o))"
+
+
+def _put(new: str) -> str:
+    """The phrase with a new word at k."""
+    return f"array_to_string(list_concat(list_concat(ws[1:k - 1], [{new}]), ws[k + 1:]), ' ')"
+
+
+def _words_replaced(table: dict, most: int) -> str:
+    return f"SELECT phrase, {_put('o')} AS variant FROM i JOIN {_pairs(table, most)} ON ws[k] = c"
+
+
+def _letters_replaced(table: dict) -> str:
+    at = "(SELECT *, unnest(range(1, len(ws[k]) + 1)) AS p FROM i WHERE len(ws[k]) >= 2)"
+    return f"SELECT phrase, {_put('ws[k][1:p - 1] || o || ws[k][p + 1:]')} AS variant FROM {at} JOIN {_pairs(table, 9)} ON ws[k][p] = c"
+
+
+def _first_replaced() -> str:
+    """Other words for the first one, by the beginnings it has."""
+    return f"SELECT phrase, {_put('o')} AS variant FROM i JOIN (SELECT * FROM (VALUES {', '.join(f"('{k}', '{o}')" for k, v in phrases.PREFIXES.items() for o in v[:4])}) t(c, o)) ON starts_with(ws[1], c) WHERE k = 1 AND o <> ws[1]"
+
+
+def _title(s: str) -> str:
+    """Capitals after anything but a letter."""
+    return f"array_to_string(list_transform(range(1, len({s}) + 1), lambda j: CASE WHEN j > 1 AND regexp_matches({s}[j - 1], '[A-Za-z]') THEN lower({s}[j]) ELSE upper({s}[j]) END), '')"
+
+
+@query(f"WITH {WAKE_WORDS} SELECT phrase, phrase AS variant FROM w UNION {_words_replaced(phrases.CONTRACTIONS, 3)}")
 def contraction_variants(spark, sf_dir):
     return _listed(_wake_words(spark, sf_dir), phrases.contraction_variants(F.col("phrase")))
 
 
-@query()
+@query(
+    f"""WITH {WAKE_WORDS}, b AS (SELECT phrase, string_split(phrase, ' ') AS ws, list_filter({list(phrases.LEADING)}, lambda x: x <> string_split(phrase, ' ')[1]) AS first FROM w),
+p AS (SELECT phrase, unnest([ws[1] || ', ' || array_to_string(ws[2:], ' '), phrase || ',', phrase || '.', phrase || '!', phrase || '?']) AS v FROM b WHERE len(ws) >= 2
+  UNION SELECT phrase, ws[1] || ' ' || ws[2] || ', ' || array_to_string(ws[3:], ' ') FROM b WHERE len(ws) >= 3),
+s AS (SELECT phrase, unnest([replace(phrase, ' ', '  '), ' ' || phrase || ' ', ' ' || phrase, phrase || ' ', replace(phrase, ' ', chr(9))]) AS v FROM b WHERE len(ws) >= 2),
+l AS (SELECT phrase, unnest(first[1:3]) AS x FROM b),
+a AS (SELECT phrase, phrase AS v FROM b UNION SELECT phrase, x || ' ' || phrase FROM (SELECT phrase, unnest(first) AS x FROM b) UNION SELECT phrase, phrase || ' ' || unnest({list(phrases.TRAILING)}) FROM b
+  UNION SELECT phrase, x || ' ' || phrase || ' ' || y FROM l CROSS JOIN (SELECT unnest({list(phrases.TRAILING[:3])}) AS y)),
+r AS ({_words_replaced(phrases.CONTRACTIONS, 3).replace("variant", "v")}), c AS (SELECT phrase, phrase AS v FROM b UNION SELECT * FROM r),
+u AS (SELECT * FROM p UNION SELECT * FROM s UNION SELECT * FROM a UNION SELECT * FROM r
+  UNION SELECT phrase, unnest([lower(phrase), upper(phrase), {_title("phrase")}, upper(phrase[1]) || lower(phrase[2:]),
+    array_to_string(list_transform(string_split(phrase, ''), lambda x, j: CASE WHEN j % 2 = 1 THEN upper(x) ELSE lower(x) END), '')]) FROM b
+  UNION SELECT phrase, unnest([upper(v), lower(v), {_title("v")}]) FROM p UNION SELECT phrase, unnest([upper(v), lower(v)]) FROM s
+  UNION SELECT phrase, unnest([upper(v), lower(v), {_title("v")}]) FROM a UNION SELECT phrase, unnest([upper(v), lower(v)]) FROM r
+  UNION SELECT phrase, unnest([v || ' ', v || '.', v || '!', v || '?', ' ' || v]) FROM c UNION SELECT phrase, v || unnest(['.', '!', '?', ',']) FROM a
+  UNION SELECT phrase, unnest([array_to_string(ws, '   '), upper(array_to_string(ws, '   '))]) FROM b WHERE len(ws) >= 2),
+o AS (SELECT phrase, v, coalesce(nullif(list_position([phrase, upper(phrase), {_title("phrase")}, phrase || '!'], v), 0), 5) AS turn FROM u),
+n AS (SELECT phrase, v, row_number() OVER (PARTITION BY phrase ORDER BY turn, CASE WHEN turn = 5 THEN md5('{SEED}|variant|' || v) END, v) - 1 AS rank FROM o)
+SELECT phrase, rank::INT AS rank, v AS variant FROM n WHERE rank < 50"""
+)
 def phrase_variants(spark, sf_dir):
     return phrases.generate_variants(_wake_words(spark, sf_dir), 50, SEED)
 
@@ -712,17 +764,23 @@ def cluster_substitutions(spark, sf_dir):
     return _listed(views.phrases(spark, sf_dir), phrases.cluster_substitutions(F.col("phrase")))
 
 
-@query()
+@query(f"WITH {WAKE_WORDS} {_words_replaced(phrases.HOMOPHONES, 3)}")
 def homophone_substitutions(spark, sf_dir):
     return _listed(_wake_words(spark, sf_dir), phrases.homophones(F.col("phrase")))
 
 
-@query()
+@query(f"WITH {WAKE_WORDS} {_first_replaced()}")
 def prefix_substitutions(spark, sf_dir):
     return _listed(_wake_words(spark, sf_dir), phrases.prefix_substitutions(F.col("phrase")))
 
 
-@query()
+@query(
+    f"""WITH {WAKE_WORDS}, v AS ({_words_replaced(phrases.HOMOPHONES, 3)} UNION {_letters_replaced(VOWEL_TABLE)} UNION {_letters_replaced(phrases.CONSONANTS)}
+UNION SELECT phrase, {_put('ws[k][1:len(ws[k]) - len(e)] || e')} FROM i, (SELECT unnest({list(phrases.ENDINGS)}) AS e) WHERE len(ws[k]) >= 3 AND len(ws[k]) > len(e) + 1
+UNION {_first_replaced()}
+UNION SELECT phrase, {_put('ws[k][1:instr(ws[k], c) - 1] || o || ws[k][instr(ws[k], c) + len(c):]')} FROM i JOIN {_pairs(phrases.CLUSTERS, 2)} ON contains(ws[k], c))
+SELECT DISTINCT phrase, lower(variant) AS variant FROM v WHERE lower(variant) <> lower(phrase) AND trim(variant) <> ''"""
+)
 def confusion_candidates(spark, sf_dir):
     return _listed(_wake_words(spark, sf_dir), phrases.confusion_candidates(F.col("phrase")))
 
