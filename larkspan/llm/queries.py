@@ -59,6 +59,31 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_hilbert_shards, op5_token_counts, op6_substrings, op7_secrets, op8_languages, op9_contamination, op10_neighbours)}
 
+
+def _hilbert(bits: int) -> str:
+    """CTEs ``b0`` to ``b<bits>`` that walk down the curve from the highest bits of cells ``x, y, z`` of a table ``cells``."""
+    steps = ["b0 AS (SELECT *, 0 AS h, 0 AS e, 0 AS d FROM cells)"]
+    for k in range(bits):
+        level = bits - 1 - k
+        corner = f"(((x >> {level}) & 1) + 2 * ((y >> {level}) & 1) + 4 * ((z >> {level}) & 1))"
+        steps.append(f"""t{k} AS (SELECT *, xor({corner}, e) AS c, (d + 1) % 3 AS n FROM b{k}),
+g{k} AS (SELECT * EXCLUDE (c), ((c >> n) | (c << (3 - n))) & 7 AS g FROM t{k}),
+p{k} AS (SELECT * EXCLUDE (g), xor(xor(g, g >> 1), g >> 2) AS p FROM g{k}),
+b{k + 1} AS (SELECT * EXCLUDE (p, h, e, d, n), 8 * h + p AS h,
+  xor(e, (({list(sharding.ENTRY)}[p + 1] << n) | ({list(sharding.ENTRY)}[p + 1] >> (3 - n))) & 7) AS e, (d + {list(sharding.AXIS)}[p + 1] + 1) % 3 AS d FROM p{k})""")
+    return ",\n".join(steps)
+
+
+def _depth_cells(column: str) -> str:
+    return f"""(SELECT {column} AS v, floor(coalesce(sum(n) OVER (ORDER BY {column} NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT * {1 << sharding.BITS} / (SELECT count(*) FROM r))::INT AS cell
+  FROM (SELECT {column}, count(*) AS n FROM r GROUP BY {column}))"""
+
+
+#: A checksum by half bytes: the register's last four bits pick one of 16 remainders, which are worked out first.
+_CRC32 = """list_reduce(list_concat([4294967295::BIGINT], list_transform(range(2 * octet_length(body)), lambda j: (instr('0123456789ABCDEF', hexes[xor(j, 1::BIGINT) + 1]) - 1)::BIGINT)),
+    lambda a, b: xor(a >> 4, rem[(xor(a, b) & 15) + 1]))"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": r"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
@@ -89,6 +114,18 @@ SELECT doc_id, size, source_size, target,
   (CASE WHEN source_size = 0 THEN 0
     ELSE (whole // source_size) * size + greatest(0, least(size, whole % source_size - start)) END)::BIGINT AS taken
 FROM q
+""",
+    "op4_hilbert_shards": f"""
+WITH RECURSIVE q AS (SELECT k, 0 AS step, k::BIGINT AS v FROM range(16) t(k)
+  UNION ALL SELECT k, step + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END FROM q WHERE step < 4),
+remainders AS (SELECT list(v ORDER BY k) AS rem FROM q WHERE step = 4),
+h AS (SELECT doc_id, source, lang, encode(coalesce(text, '')) AS body, string_split(hex(encode(coalesce(text, ''))), '') AS hexes FROM documents),
+r AS (SELECT doc_id, source, lang, (octet_length(body) + 1)::BIGINT AS size, xor({_CRC32}, 4294967295::BIGINT) AS text_crc32 FROM h, remainders),
+cells AS (SELECT r.*, s.cell AS x, l.cell AS y, least({(1 << sharding.BITS) - 1}, floor(ln(size) / ln(2) * 2))::INT AS z
+  FROM r JOIN {_depth_cells("source")} s ON r.source IS NOT DISTINCT FROM s.v JOIN {_depth_cells("lang")} l ON r.lang IS NOT DISTINCT FROM l.v),
+{_hilbert(sharding.BITS)},
+o AS (SELECT *, row_number() OVER (ORDER BY h, source NULLS LAST, lang NULLS LAST, size, doc_id NULLS LAST, text_crc32) - 1 AS rank, count(*) OVER () AS total FROM b{sharding.BITS})
+SELECT doc_id, size, text_crc32, 'rows' AS law, (rank * 16 // total)::INT AS shard, (rank - (rank * 16 // total * total + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard, h::INT AS hilbert FROM o
 """,
     "op6_substrings": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
