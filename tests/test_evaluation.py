@@ -39,6 +39,22 @@ def test_random_streams_equal_the_loop_in_all_three_forms(spark):
     assert counts == {s: len(greedy(set(ps), 7)) for s, ps in streams.items() if ps}
 
 
+@pytest.mark.parametrize(("block", "spread", "gap"), [(1, 400, 7), (2, 60, 9), (3, 5_000, 4), (5, 40, 1)])
+def test_hits_carry_over_blocks(spark, monkeypatch, block, spread, gap):
+    monkeypatch.setattr(cooldown, "BLOCK", block)
+    rng = random.Random(block)
+    streams = {s: [rng.randrange(-spread, spread) for _ in range(rng.randrange(1, 160))] for s in (None, 1, 2, 3, 4)} | {5: list(range(100))}
+    rows = [(s, p, k) for s, ps in streams.items() for k, p in enumerate(ps)] + [(1, None, 0), (6, None, 0)]
+    df = spark.createDataFrame(rows, "s long, p long, k long").repartition(5)
+    wanted = sorted(((s or 0, p) for s, ps in streams.items() for p in greedy(set(ps), gap)))
+    ties = {(s or 0, p): ps.index(p) for s, ps in streams.items() for p in ps}
+    for select in (cooldown.select_kept, cooldown.select_kept_streamed):
+        got = select(df, ["s"], "p", gap, "k").collect()
+        assert sorted((r["s"] or 0, r["p"]) for r in got) == wanted
+        assert all(r["k"] == ties[r["s"] or 0, r["p"]] for r in got)
+    assert {r["s"]: r["kept"] for r in cooldown.count_kept(df, ["s"], "p", gap).collect()} == {s: len(greedy(set(ps), gap)) for s, ps in streams.items()}
+
+
 def test_seconds_and_gaps(spark):
     df = spark.createDataFrame([(1, 0.0, 0), (1, 0.5, 1), (1, 1.0, 2), (1, 1.5, 3)], "s long, t double, k long")
     assert sorted(r["t"] for r in cooldown.select_kept(df, ["s"], "t", 1.0, "k").collect()) == [0.0, 1.0]
