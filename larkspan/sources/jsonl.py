@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.operators.manifest import validate
 from larkspan.schemas import DEFAULT_RATE, MANIFEST, MANIFEST_DEFAULTS
+from larkspan.tables import Workspace, lookup
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -37,10 +38,20 @@ def write_manifest(manifest: DataFrame, path: str, by_split: bool = False) -> No
 
 
 def read_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Good rows with ``line``, and ``line, message`` of the others. Lines are numbered per file, from 1, in files that aren't split."""
-    # A whole file is one row, so numbers are those of the file; training manifests to append are small files.
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("k", "raw"))
-    lines = text.where(F.trim("raw") != "").select((F.col("k") + 1).alias("line"), F.from_json("raw", MANIFEST, {"mode": "PERMISSIVE"}).alias("m"), F.try_parse_json("raw").alias("v"))
+    """Good rows with ``line``, and ``line, message`` of the others. Lines are numbered per file, from 1, blank ones included.
+
+    Files are read in splits. A line's number is its place in its split, as tasks number rows in reading order, and the
+    lines of the file's splits before.
+    """
+    ws = Workspace(spark, "tolerant")
+    read = spark.read.option("lineSep", "\n").text(path)
+    split = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
+    text = ws.table(read.select(F.regexp_replace("value", "\r$", "").alias("raw"), *split, F.monotonically_increasing_id().alias("__id")), "lines")
+    splits = text.groupBy("__file", "__start").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("__file", "__start", (F.coalesce(F.sum("__n").over(before), F.lit(0)) + 1 - F.col("__first")).alias("__add"))
+    numbered = text.where(F.trim("raw") != "").join(lookup(offsets), ["__file", "__start"])
+    lines = numbered.select((F.col("__id") + F.col("__add")).alias("line"), F.from_json("raw", MANIFEST, {"mode": "PERMISSIVE"}).alias("m"), F.try_parse_json("raw").alias("v"))
     problem = (
         F.when(F.col("v").isNull(), "not JSON")
         .when(F.coalesce(F.col("m.path"), F.lit("")) == "", "path is missing")

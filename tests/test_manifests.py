@@ -50,6 +50,24 @@ def test_tolerant_reader(spark, tmp_path):
     assert sorted(r["message"] for r in errors.collect()) == ["Line 3: not JSON", "Line 4: path is missing", "Line 5: label must be 0 or 1"]
 
 
+def test_tolerant_reader_numbers_lines_of_split_files(spark, tmp_path):
+    import json
+
+    wanted = []
+    for name, lines in (("a", 700), ("b", 1), ("c", 400)):
+        text = [json.dumps({"path": f"{name}{k}.wav", "label": k % 2}) if k % 5 else "" for k in range(1, lines + 1)]
+        (tmp_path / f"{name}.jsonl").write_bytes("\r\n".join(text).encode())
+        wanted += [(f"{name}{k}.wav", k) for k in range(1, lines + 1) if k % 5]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        good, errors = jsonl.read_tolerant(spark, str(tmp_path))
+        assert sorted((r["path"], r["line"]) for r in good.collect()) == sorted(wanted)
+        assert errors.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_bad_line_fails_the_strict_reader(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text('{"path": "a.wav"}\nnot json\n')
     with pytest.raises(Exception, match="(?i)malformed"):
