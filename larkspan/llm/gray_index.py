@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.operators.prefix import prefix_sums
+from larkspan.operators.prefix import MOST_SLICES
 from larkspan.tables import Workspace
 
 FAN = 16
@@ -36,6 +36,8 @@ RUN_ROWS = 8_192
 #: Fingerprints that share a leading part, on average, at most: more of them are cut into more blocks.
 SHARED = 1_024
 MOST_BLOCKS = 8
+#: Rows of a range of the order.
+SLICE_ROWS = 50_000
 _ALL = 0xFFFFFFFFFFFFFFFF
 
 
@@ -141,22 +143,28 @@ def _arranged(blocks: int, leading: tuple[int, ...]) -> tuple[Column, int]:
 def links(prints: DataFrame, radius: int, run_rows: int | None = None) -> DataFrame:
     """Edges ``a, b`` that join the same components as all pairs within the radius would.
 
-    ``prints``, a written table: ``node long, print long``, neither null; a node may have several rows. At most one edge a
-    row comes out of a run or a pair of runs, so a group of many near copies doesn't make all its pairs. No
+    ``prints``, a written table or rows worked out of one alike each time: ``node long, print long``, neither null; a node may have
+    several rows. With a column ``part int``, from 0, only rows of the same part link, and all parts are searched at once. At most
+    one edge a row comes out of a run or a pair of runs, so a group of many near copies doesn't make all its pairs. No
     rows give no edges.
     """
     ws = Workspace(prints.sparkSession, "links")
     run_rows = run_rows or RUN_ROWS
-    blocks, leads = arrangements(prints.count(), radius)
+    prints = prints if "part" in prints.columns else prints.withColumn("part", F.lit(0))
+    most, total = prints.groupBy("part").count().agg(F.max("count"), F.sum("count")).first()
+    blocks, leads = arrangements(most or 0, radius)
     arranged = [_arranged(blocks, lead) for lead in leads]
     each = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(64 - width).alias("rest"), bits.alias("print")) for k, (bits, width) in enumerate(arranged)])
-    rows = prints.select("node", F.explode(each).alias("__p")).select("node", "__p.*")
-    rows = rows.withColumn("rank", F.col("print"))
+    rows = prints.select("node", "part", F.explode(each).alias("__p")).select("node", (F.col("part") * len(leads) + F.col("__p.kind")).alias("kind"), "__p.rest", "__p.print")
+    rank = F.col("print")
     for by in (1, 2, 4, 8, 16, 32):
-        rows = rows.withColumn("rank", F.expr(f"rank ^ shiftrightunsigned(rank, {by})"))
-    rows = ws.table(rows.withColumns({"lead": F.expr("shiftrightunsigned(print, rest)"), "one": F.lit(1).cast("long")}), "arranged")
-    placed = prefix_sums(ws, rows, "placed", [F.col(c).asc() for c in ("kind", "rank", "node")], {"at": "one"})
-    runs = ws.table(placed.select("node", "kind", "rest", "print", "lead", F.expr(f"at div {run_rows}L").alias("run")), "runs")
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, by))
+    order = [F.col("kind").asc(), rank.asc(), F.col("node").asc()]
+    slices = max(1, min(MOST_SLICES, -(-(total or 0) * len(leads) // SLICE_ROWS)))
+    # A row's number starts anew, far above, in each range of the order, so no run lies in two; numbers are written with the rows.
+    placed = rows.repartitionByRange(slices, *order).sortWithinPartitions(*order).withColumn("run", F.monotonically_increasing_id())
+    placed = placed.select("node", "kind", "rest", "print", F.expr("shiftrightunsigned(print, rest)").alias("lead"), F.expr(f"run div {run_rows}L").alias("run"))
+    runs = ws.table(placed, "runs")
     # Leading parts that go on in another run; there, a node per run: bits that are one, and bits that are zero, in all its rows.
     across = ws.table(runs.groupBy("kind", "lead").agg(F.min("run").alias("low"), F.max("run").alias("high")).where("low < high").select("kind", "lead"), "across")
     shared = ws.table(runs.join(across, ["kind", "lead"], "left_semi"), "shared")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.components import components
-from larkspan.llm.gray_index import links
+from larkspan.llm.gray_index import GrayIndex, links
 from larkspan.llm.shared import row_key
 from larkspan.operators.prefix import prefix_sums
 from larkspan.tables import Workspace, lookup
@@ -91,60 +91,73 @@ def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
     return np.unique(shingle_hashes((text or "").encode().lower().split(), shingle_words))
 
 
-def bands(shingles: np.ndarray, count: int, rows: int) -> np.ndarray:
-    """``count`` hashes, each of ``rows`` least hashes of the set under mixes of their own; none of no shingles."""
+def set_prints(shingles: np.ndarray, count: int, least: int = 9) -> np.ndarray:
+    """The SimHash fingerprint of a set and ``count`` prints of six bits from each of ``least`` least hashes under mixes of their own; none of no shingles.
+
+    Prints of two sets differ in no bit for each least hash that the sets share and in each second bit for others, on average.
+    """
     if not len(shingles):
         return np.zeros(0, np.int64)
     # The hashes are mixed well already, so an odd factor of its own gives each kind its order.
-    factors = np.random.default_rng(42).integers(0, 1 << 64, (count * rows, 1), np.uint64) | np.uint64(1)
-    least = np.min([(shingles[at : at + 1024] * factors).min(axis=1) for at in range(0, len(shingles), 1024)], axis=0)
-    out = np.zeros(count, np.uint64)
-    for own in least.reshape(count, rows).T:
-        out = (out ^ own) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
-    return out.view(np.int64)
-
-
-def linked(sets: list[np.ndarray], keys: np.ndarray, similarity: float, side: np.ndarray | None = None) -> np.ndarray:
-    """For each set the index of one that stands for all it reaches by links: pairs that share a band (``keys``, sets x bands) and whose exact Jaccard similarity is reached. With ``side``, only pairs of different sides."""
-    root, sizes = np.arange(len(sets)), np.array([len(x) for x in sets], np.int64)
-    for k in range(keys.shape[1]):
-        order = np.lexsort((sizes, keys[:, k]))
-        own = keys[order, k]
-        cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]]).tolist()
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a < 2:
+    factors = np.random.default_rng(42).integers(0, 1 << 64, (count * least, 1), np.uint64) | np.uint64(1)
+    low = np.min([(shingles[at : at + 1024] * factors).min(axis=1) for at in range(0, len(shingles), 1024)], axis=0)
+    six = (low >> np.uint64(20) & np.uint64(63)).reshape(count, least)
+    # Spread over the word, so that each leading part holds its share of them.
+    out = np.bitwise_or.reduce(six << (np.arange(least, dtype=np.uint64) * np.uint64(64 // least)), axis=1)
+    return np.concatenate([_majority(shingles[:, None]), out]).view(np.int64)
+
+
+def _close(prints: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A set and others after it that have one of their prints (sets x prints) within the radius; each such pair once."""
+    if len(prints) <= 128:
+        close = (np.bitwise_count(prints[:, None] ^ prints[None]) <= radius).any(axis=2)
+        for i in range(len(prints) - 1):
+            yield i, i + 1 + np.flatnonzero(close[i, i + 1 :])
+        return
+    for k in range(prints.shape[1]):
+        own = np.ascontiguousarray(prints[:, k])
+        for a, b in GrayIndex(own).search(own, radius, block=max(64, min(2048, (1 << 22) // len(own)))):
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            cuts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]]).tolist()
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if low < high:
+                    i, others = int(a[low]), b[low:high]
+                    others = others[others > i]
+                    # A pair that is close by an earlier print was told there.
+                    yield i, others[~(np.bitwise_count(prints[others, :k] ^ prints[i, :k]) <= radius).any(axis=1)]
+
+
+def linked(sets: list[np.ndarray], prints: np.ndarray, similarity: float, radius: int, side: np.ndarray | None = None) -> np.ndarray:
+    """For each set the index of one that stands for all it reaches by links: pairs that have one of their ``prints`` (sets x prints) within the radius and whose exact Jaccard similarity is reached. With ``side``, only pairs of different sides."""
+    root, sizes, changed = np.arange(len(sets)), np.array([len(x) for x in sets], np.int64), True
+    for i, others in _close(prints, radius):
+        # A group of copies is one component after its first member.
+        if changed and (root == root[0]).all():
+            break
+        changed = False
+        others = others[root[others] != root[i]]
+        if side is not None:
+            others = others[side[others] != side[i]]
+        # A set below ``similarity`` of another's size can't reach it.
+        others = others[np.minimum(sizes[others], sizes[i]) >= similarity * (1 - 1e-9) * np.maximum(sizes[others], sizes[i])]
+        for j in others.tolist():
+            if root[i] == root[j]:
                 continue
-            members, changed = order[a:b], True
-            for at in range(len(members) - 1):
-                # A group of copies is one component after its first member.
-                if changed and (root[members] == root[members[0]]).all():
-                    break
-                i, changed = members[at], False
-                # Sizes go up, and a set below ``similarity`` of another's size can't reach it.
-                to = np.searchsorted(sizes[members], sizes[i] / similarity * (1 + 1e-9), "right")
-                others = members[at + 1 : to]
-                others = others[root[others] != root[i]]
-                if side is not None:
-                    others = others[side[others] != side[i]]
-                # A pair that shares an earlier band was compared there.
-                others = others[~(keys[others, :k] == keys[i, :k]).any(axis=1)]
-                for j in others.tolist():
-                    if root[i] == root[j]:
-                        continue
-                    x, y = sets[i], sets[j]
-                    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                    if common >= similarity * (len(x) + len(y) - common) * (1 - 1e-12):
-                        root[root == root[j]] = root[i]
-                        changed = True
+            x, y = sets[i], sets[j]
+            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            if common >= similarity * (len(x) + len(y) - common) * (1 - 1e-12):
+                root[root == root[j]] = root[i]
+                changed = True
     return root
 
 
-def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, count: int = 28, rows: int = 6, most: int = 4_000_000) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, count: int = 14, radius: int = 4, most: int = 4_000_000) -> DataFrame:
     """``__k1, __k2, doc_id, __root`` for each row of ``docs(doc_id, text)``: groups at an exact Jaccard similarity of word shingles.
 
-    Candidates are pairs that agree in one of ``count`` bands of ``rows`` least hashes of the shingles. At similarity s
-    a pair is missed with probability (1 - s ** rows) ** count: 2 in 10,000 at 0.8, whatever kind of edit made it. Every
+    Candidates are pairs that the Gray-order index finds within ``radius`` bits by one of their prints: the SimHash fingerprint of
+    the shingles, and ``count`` prints of nine least hashes each, as near copies at 0.8 differ in about 10 bits of the fingerprint.
+    A pair at 0.8 is missed with a computed probability of 2 in 10,000, whatever kind of edit made it. Every
     candidate is decided by the exact similarity of the sets, in the task of its component of candidates; components
     above ``most`` shingles are cut into runs by size and compared pairwise. Rows with one set of shingles form one
     class. Empty tables, nulls and repeats are as in ``near_groups``.
@@ -157,12 +170,12 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
         for part in parts:
             sets = [shingle_set(t, shingle_words) for t in part["text"]]
             node = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
-            yield pd.DataFrame({"__k1": part["__k1"], "__k2": part["__k2"], "doc_id": part["doc_id"], "node": node, "weight": [len(s) + count for s in sets], "bands": [bands(s, count, rows) for s in sets]})
+            yield pd.DataFrame({"__k1": part["__k1"], "__k2": part["__k2"], "doc_id": part["doc_id"], "node": node, "weight": [len(s) + count for s in sets], "prints": [set_prints(s, count) for s in sets]})
 
     def edges_of(part: pd.DataFrame, side: np.ndarray | None = None) -> pd.DataFrame:
         fresh = ~part["node"].duplicated().to_numpy()
         nodes, sets = part["node"].to_numpy(np.int64)[fresh], [shingle_set(t, shingle_words) for t in part["text"][fresh]]
-        root = linked(sets, np.array([bands(s, count, rows) for s in sets]), similarity, None if side is None else side[fresh])
+        root = linked(sets, np.array([set_prints(s, count) for s in sets]).view(np.uint64), similarity, radius, None if side is None else side[fresh])
         apart = root != np.arange(len(root))
         return pd.DataFrame({"a": nodes[apart], "b": nodes[root[apart]]})
 
@@ -185,14 +198,12 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
         same = part["first"].iloc[0] == part["second"].iloc[0]
         return edges_of(part, None if same else part["run"].to_numpy())
 
-    signed = ws.table(texts.mapInPandas(sign, "__k1 long, __k2 long, doc_id long, node long, weight long, bands array<long>"), "signed")
+    signed = ws.table(texts.mapInPandas(sign, "__k1 long, __k2 long, doc_id long, node long, weight long, prints array<long>"), "signed")
     one = F.min(F.struct("__k1", "__k2")).alias("one")
-    classes = ws.table(signed.groupBy("node").agg(one, F.first("weight").alias("weight"), F.first("bands").alias("bands")), "classes")
-    dealt = classes.select("node", F.posexplode("bands").alias("band", "value"))
-    buckets = ws.table(dealt.groupBy("band", "value").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
-    stars = dealt.join(buckets, ["band", "value"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    classes = ws.table(signed.groupBy("node").agg(one, F.first("weight").alias("weight"), F.first("prints").alias("prints")), "classes")
+    found = links(classes.select("node", F.posexplode("prints").alias("part", "print")), radius)
     # Candidates of one another: a class outside of these has no text that moves.
-    near = classes.join(components(stars), "node").select("node", "root", "weight", F.col("one.__k1").alias("__k1"), F.col("one.__k2").alias("__k2"))
+    near = classes.join(components(found), "node").select("node", "root", "weight", F.col("one.__k1").alias("__k1"), F.col("one.__k2").alias("__k2"))
     near = ws.table(near, "near")
     large = ws.table(near.groupBy("root").agg(F.sum("weight").alias("all")).where(F.col("all") > most).select("root"), "large")
     split = large.limit(1).count() > 0

@@ -174,6 +174,45 @@ def test_copies_with_one_contiguous_change_link_at_the_exact_similarity(spark, m
     assert len({(a, got[480 + k]) for k, a in enumerate(root)}) == len(set(root)) == len({got[480 + k] for k in range(60)})
 
 
+def test_candidates_of_near_duplicates_come_through_the_index(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = [words(rng, 150) for _ in range(6)]
+    docs = docs_of(spark, [" ".join(t) for t in texts] + [" ".join([*t, "more"]) for t in texts])
+    kinds, whole = [], simhash.links
+
+    def seen(prints, radius):
+        kinds.append((radius, {r["node"]: r["print"] for r in prints.where("part = 0").collect()}))
+        return whole(prints, radius)
+
+    monkeypatch.setattr(simhash, "links", seen)
+    roots = {r["doc_id"]: r["__root"] for r in simhash.similar_groups(docs).collect()}
+    assert [roots[k] == roots[6 + k] for k in range(6)] == [True] * 6 and len(set(roots.values())) == 6
+    # The first print of each is the fingerprint of op3_simhash, as no shingle is repeated here.
+    assert len(kinds) == 1 and kinds[0][0] == 4
+    assert set(kinds[0][1].values()) == set(np.array([simhash.fingerprint(" ".join([*t, *more]), 5) for t in texts for more in ([], ["more"])], np.uint64).view(np.int64).tolist())
+    monkeypatch.setattr(simhash, "links", lambda prints, radius: whole(prints.limit(0), radius))
+    assert len({r["__root"] for r in simhash.similar_groups(docs).collect()}) == 12
+
+
+def test_links_stay_within_parts(spark):
+    rng = random.Random(8)
+    prints = [rng.getrandbits(64) for _ in range(40)]
+    rows = [(2 * k + side, side * (k % 2), p ^ (side << 9)) for k, p in enumerate(prints) for side in (0, 1)]
+    df = spark.createDataFrame([(n, part, int(np.array(p, np.uint64).view(np.int64))) for n, part, p in rows], "node long, part int, print long")
+    assert {tuple(sorted(r)) for r in gray_index.links(df, 4, 7).collect()} == {(2 * k, 2 * k + 1) for k in range(0, 40, 2)}
+
+
+@pytest.mark.parametrize("n", [100, 300])
+def test_close_pairs_are_those_of_any_print(n):
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 64, (n, 3), np.uint64)
+    prints[n // 2 :] = prints[: n - n // 2]
+    prints[n // 2 :, 1:] ^= rng.integers(0, 1 << 10, (n - n // 2, 2), np.uint64)
+    got = [(i, j) for i, others in simhash._close(prints, 4) for j in others.tolist()]
+    near = (np.bitwise_count(prints[:, None] ^ prints[None]) <= 4).any(axis=2)
+    assert sorted(got) == [(i, j) for i in range(n) for j in range(i + 1, n) if near[i, j]]
+
+
 def test_deduplication_keeps_all_columns_of_one_row(spark):
     df = odd_docs(spark)
     got = simhash.deduplicated(df)
