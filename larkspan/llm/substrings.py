@@ -7,8 +7,10 @@ Texts are packed into blocks of a few megabytes, written once. Then three passes
    merged; a window's count is the least of its counters and never below the truth. Each block gets
    back one bit per cell it sent: whether the merged count is above one.
 2. Windows whose counters are all above one go, by 128-bit hash and with the smallest id in the block, to
-   the task that owns their range of hashes. It finds the exact smallest id and answers each block.
-3. Each block marks the words under windows that start in a document with a smaller id.
+   the task that owns their range of hashes. It finds the exact smallest id and answers each block. The
+   windows' places in the block go along and come back with the answer.
+3. Each block marks the words under windows that start in a document with a smaller id; no window is
+   hashed again.
 
 A window that is in two documents is above one in every counter, so none is lost; what the sketch lets
 through in error ends in pass 2. What a block sends for a window is one entry, however often it occurs
@@ -87,15 +89,22 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-class Block:
-    """Documents of a block: ids (null as the largest number), words, and hashes of their windows."""
+class Texts:
+    """Documents of a block: ids (null as the largest number) and words."""
 
-    def __init__(self, blob: bytes, window: int) -> None:
+    def __init__(self, blob: bytes) -> None:
         self.ids, self.missing, sizes, texts = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
         ends = np.cumsum(sizes)
         self.words = [texts[b - n : b].split() for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
         self.counts = np.fromiter(map(len, self.words), np.int64, len(self.words))
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])
+
+
+class Block(Texts):
+    """A block with hashes of its documents' windows."""
+
+    def __init__(self, blob: bytes, window: int) -> None:
+        super().__init__(blob)
         hashes = _words.look_up([w for own in self.words for w in own])
         total = len(hashes)
         per_doc = np.maximum(0, self.counts - window + 1)
@@ -105,10 +114,14 @@ class Block:
         n = max(0, total - window + 1)
         out = np.zeros((2, n), np.uint64)
         for side, base in enumerate(_BASE):
-            factor = np.uint64(1)
-            for k in range(window):
-                out[side] += hashes[k : k + n, side] * factor
-                factor = np.uint64(int(factor) * int(base) & 0xFFFFFFFFFFFFFFFF)
+            # Sums over 1, 2, 4 ... words, each from two of the last; a window is put together of those in its length.
+            run, length, done = np.ascontiguousarray(hashes[:, side]), 1, 0
+            while length <= window:
+                if window & length:
+                    out[side] += run[done : done + n] * np.uint64(pow(int(base), done, 1 << 64))
+                    done += length
+                run = run[:-length] + run[length:] * np.uint64(pow(int(base), length, 1 << 64))
+                length *= 2
         self.high, self.low = _mix(out[0][self.window_at], 1), _mix(out[1][self.window_at], 2)
 
     def cells(self, row: int, bits: int) -> np.ndarray:
@@ -203,7 +216,7 @@ class Sketching:
             add = 1 + np.unpackbits(np.frombuffer(more, np.uint8), count=len(cells))
             counts[cells] = np.minimum(counts[cells] + add, 2)
             sent.append(cells)
-        return pd.DataFrame({"block": part["block"], "owner": part["owner"], "kind": 0, "data": [np.packbits(counts[cells] > 1).tobytes() for cells in sent]})
+        return pd.DataFrame({"block": part["block"], "owner": part["owner"], "data": [np.packbits(counts[cells] > 1).tobytes() for cells in sent]})
 
     def _repeated(self, block: Block, answers: pd.DataFrame) -> np.ndarray:
         """Windows of a block whose counters are all above one."""
@@ -231,14 +244,19 @@ class Sketching:
         return high[new], low[new], least, place
 
     def candidates(self, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        """A block's windows that the sketch lets through, by owner of the hash."""
+        """A block's windows that the sketch lets through, by owner of the hash; with one owner's, where all of them start and which hash each has."""
         rows = []
         for number, blob in zip(blocks["block"], blocks["blob"], strict=True):
             block = Block(blob, self.window)
-            high, low, least, _ = self._distinct(block, self._repeated(block, answers))
-            for owner, a, b in _split(high, 64, self.range_bits):
-                rows.append((owner, number, high[a:b].tobytes() + low[a:b].tobytes(), _pack(least[a:b])))
-        return pd.DataFrame(rows, columns=["owner", "block", "hashes", "least"])
+            windows = self._repeated(block, answers)
+            high, low, least, place = self._distinct(block, windows)
+            note = pickle.dumps((_pack(np.diff(block.window_at[windows], prepend=0).astype(np.uint32)), _pack(place.astype(np.uint32))))
+            split = _split(high, 64, self.range_bits)
+            # Blocks choose by hash, so that no owner gets the notes of all.
+            chosen = xxhash.xxh3_64_intdigest(str(number)) % max(1, len(split))
+            for k, (owner, a, b) in enumerate(split):
+                rows.append((owner, number, high[a:b].tobytes() + low[a:b].tobytes(), _pack(least[a:b]), note if k == chosen else None))
+        return pd.DataFrame(rows, columns=["owner", "block", "hashes", "least", "note"])
 
     def smallest(self, part: pd.DataFrame) -> pd.DataFrame:
         """The smallest id of each hash over all blocks."""
@@ -250,22 +268,24 @@ class Sketching:
         out = np.empty(len(ids), np.int64)
         out[order] = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         ends = np.cumsum([len(x) for x in own])
-        return pd.DataFrame({"block": part["block"], "owner": part["owner"], "kind": 1, "data": [_pack(out[e - len(x) : e]) for e, x in zip(ends, own, strict=True)]})
+        data = [_pack(out[e - len(x) : e]) for e, x in zip(ends, own, strict=True)]
+        return pd.DataFrame({"block": part["block"], "owner": part["owner"], "data": data, "note": part["note"]})
 
     def remove(self, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         """A row for each document of a block."""
         rows = []
         for blob in blocks["blob"]:
-            block = Block(blob, self.window)
-            windows = self._repeated(block, answers[answers["kind"] == 0])
-            _, _, least, place = self._distinct(block, windows)
-            if len(least):
-                told = answers[answers["kind"] == 1].sort_values("owner")
-                least = np.concatenate([_unpack(x, np.int64) for x in told["data"]])
-            windows = windows[least[place] < block.ids[block.window_doc[windows]]]
+            block = Texts(blob)
             steps = np.zeros(len(block.words) and int(block.starts[-1]) + 1, np.int64)
-            np.add.at(steps, block.window_at[windows], 1)
-            np.add.at(steps, block.window_at[windows] + self.window, -1)
+            if len(answers):
+                told = answers.sort_values("owner")
+                at, place = pickle.loads(told["note"].dropna().iloc[0])
+                at, place = np.cumsum(_unpack(at, np.uint32), dtype=np.int64), _unpack(place, np.uint32)
+                least = np.concatenate([_unpack(x, np.int64) for x in told["data"]])
+                at = at[least[place] < np.repeat(block.ids, block.counts)[at]]
+                # Windows start at different words each.
+                steps[at] += 1
+                steps[at + self.window] -= 1
             gone = np.cumsum(steps) > 0
             for k, words in enumerate(block.words):
                 mark = gone[block.starts[k] : block.starts[k + 1]]
@@ -290,14 +310,13 @@ def removed_windows(docs: DataFrame, window: int = 13, depth: int = 2, block_byt
     blocks = ws.table(pack_blocks(docs, window, block_bytes), "blocks", codec="uncompressed")
     total = blocks.agg(F.sum("windows")).first()[0] or 0
     run = Sketching(window, total, depth)
-    shape = "block long, owner int, kind int, data binary"
+    shape = "block long, owner int, data binary"
     sent = blocks.select("block", "blob").mapInPandas(run.sketch, "owner int, block long, cells binary, more binary")
     masks = ws.table(sent.groupBy("owner").applyInPandas(lambda part: run.merge(part), shape), "masks", codec="uncompressed")
     by_block = blocks.select("block", "blob").groupBy("block")
-    asked = by_block.cogroup(masks.groupBy("block")).applyInPandas(lambda a, b: run.candidates(a, b), "owner int, block long, hashes binary, least binary")
-    least = ws.table(asked.groupBy("owner").applyInPandas(lambda part: run.smallest(part), shape), "least", codec="uncompressed")
-    answers = masks.unionByName(least)
-    return by_block.cogroup(answers.groupBy("block")).applyInPandas(lambda a, b: run.remove(a, b), "doc_id long, n_words long, n_removed long, kept string")
+    asked = by_block.cogroup(masks.groupBy("block")).applyInPandas(lambda a, b: run.candidates(a, b), "owner int, block long, hashes binary, least binary, note binary")
+    least = ws.table(asked.groupBy("owner").applyInPandas(lambda part: run.smallest(part), f"{shape}, note binary"), "least", codec="uncompressed")
+    return by_block.cogroup(least.groupBy("block")).applyInPandas(lambda a, b: run.remove(a, b), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digests(removed: DataFrame) -> DataFrame:

@@ -391,6 +391,39 @@ def test_removal_with_ranges(spark, monkeypatch):
     assert Counter(map(tuple, got)) == slow_removal(rows, 13)
 
 
+def test_windows_are_not_hashed_again_for_removal(spark, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(substrings, "RANGE_WINDOWS", 300)
+    rows = [(k, t, None, None, None) for k, t in enumerate(corpus(random.Random(13)))]
+    blocks = substrings.pack_blocks(spark.createDataFrame(rows, SCHEMA), 13, 4000).toPandas()
+    run = substrings.Sketching(13, int(blocks["windows"].sum()), 2)
+    assert len(blocks) > 3 and run.range_bits > 2
+    masks = pd.concat([run.merge(own) for _, own in pd.concat(run.sketch([blocks])).groupby("owner")])
+    single = [(blocks.iloc[[k]], number) for k, number in enumerate(blocks["block"])]
+    asked = pd.concat([run.candidates(own, masks[masks["block"] == number]) for own, number in single])
+    # One note a block, and not all with one owner.
+    notes = asked[asked["note"].notna()]
+    assert notes["block"].is_unique and set(notes["block"]) == set(asked["block"]) and notes["owner"].nunique() > 2
+    told = pd.concat([run.smallest(own) for _, own in asked.groupby("owner")])
+    monkeypatch.setattr(substrings, "Block", None)
+    got = pd.concat([run.remove(own, told[told["block"] == number]) for own, number in single])
+    digests = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got.itertuples()]
+    assert Counter(digests) == slow_removal(rows, 13) and got["n_removed"].sum() > 0
+
+
+@pytest.mark.parametrize("window", [1, 2, 8, 13])
+def test_window_hashes_are_sums_over_words(spark, window):
+    own = [f"w{k % 17}" for k in range(60)]
+    blob = substrings.pack_blocks(spark.createDataFrame([(1, " ".join(own))], "doc_id long, text string"), window).first()["blob"]
+    block = substrings.Block(blob, window)
+    hashes = substrings._words.look_up([w.encode() for w in own]).tolist()
+    for side, got in enumerate((block.high, block.low)):
+        base = int(substrings._BASE[side])
+        sums = [sum(hashes[at + k][side] * pow(base, k, 1 << 64) for k in range(window)) % (1 << 64) for at in range(61 - window)]
+        assert got.tolist() == substrings._mix(np.array(sums, np.uint64), side + 1).tolist()
+
+
 def test_removal_of_nothing(spark):
     assert substrings.removed_windows(no_docs(spark)).count() == 0
     assert substrings.removed_windows(odd_docs(spark)).columns == ["doc_id", "n_words", "n_removed", "kept"]
